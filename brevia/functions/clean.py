@@ -43,5 +43,10 @@ def replace_markup(text: Column) -> Column:
 
 
 def clean_text(text: Column, names: EmojiNames | None = None) -> Column:
-    """All rules: addresses, mentions, hashtags, emoji, lower case."""
-    return to_lowercase(handle_emojis(replace_markup(text), names))
+    """All rules: addresses, mentions, hashtags, emoji, lower case.
+
+    The emoji step looks at its input several times; going through a one-element
+    array makes that input be computed once.
+    """
+    marked = F.array(replace_markup(text))
+    return F.get(F.transform(marked, lambda t: to_lowercase(handle_emojis(t, names))), F.lit(0))

@@ -15,16 +15,18 @@ from pyspark.sql import functions as F
 
 from .emoji_names import REGIONAL_A, TONES, VS16, ZWJ, EmojiNames, default_names
 
-# Blocks that hold emoji; a code point in them without a name is left as it is.
-_BLOCKS = (
-    r"\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}-\x{21AA}\x{231A}-\x{23FF}\x{24C2}"
-    r"\x{25AA}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F004}-\x{1FAFF}"
-)
-_GATE = rf"[\x{{20E3}}{_BLOCKS}]"
+# Blocks that hold emoji; a code point in them without a name is left as it is.  Java
+# is slow on classes of several ranges, so a wide class of one range sorts out Latin,
+# Greek, Cyrillic, Arabic and Indic text first.
+_WIDE = r"\x{203C}-\x{1FAFF}\x{A9}\x{AE}"
+_BLOCKS = r"\x{203C}-\x{303D}\x{3297}-\x{3299}\x{1F004}-\x{1FAFF}\x{A9}\x{AE}"
+_KEYCAP_MARK = "⃣"
 _KEYCAP = r"([0-9#*])\x{FE0F}?\x{20E3}"
 _TONE = r"[\x{1F3FB}-\x{1F3FF}]"
 _REGION = r"[\x{1F1E6}-\x{1F1FF}]"
 _ASTRAL = 0x1F000
+# A name and the trait at its end that a skin tone is put ahead of.
+_TRAIT = r"^(.*?)(_beard|_[a-z]+_hair|_bald)?$"
 
 
 def _points(chars) -> str:
@@ -51,9 +53,12 @@ def _joined_pattern(names: EmojiNames) -> str:
 
 
 def _pieces_pattern(names: EmojiNames) -> str:
+    # The look-ahead keeps plain emoji from trying every joined sequence.
+    joined = rf"(?=.(?:\x{{FE0F}}|{_TONE})?[\x{{200D}}\x{{E0067}}])(?:{_joined_pattern(names)})"
     return "|".join([
+        rf"[^{_WIDE}]+",
         rf"[^{_BLOCKS}]+",
-        _joined_pattern(names),
+        joined,
         rf"{_REGION}{{2}}",
         rf"[{_points(names.tonable)}]{_TONE}",
         rf"[{_BLOCKS}]\x{{FE0F}}?",
@@ -64,19 +69,14 @@ def _name_list(values) -> Column:
     return F.split(F.lit("|".join(values)), r"\|")
 
 
-def _with_tone_mark(name: str) -> str:
-    return name if not name or "~" in name else name + "~"
-
-
 def _single_name(char: Column, names: EmojiNames) -> Column:
-    shown = {c: _with_tone_mark(n) if c in names.tonable else n for c, n in names.single.items()}
-    low = sorted(c for c in shown if ord(c) < _ASTRAL)
-    high = [shown.get(chr(point), "") for point in range(_ASTRAL, 0x1FB00)]
+    low = sorted(c for c in names.single if ord(c) < _ASTRAL)
+    high = [names.single.get(chr(point), "") for point in range(_ASTRAL, 0x1FB00)]
     point = F.ascii(char)
     at = F.instr(F.lit("".join(low)), char)
     return F.when(
         point >= _ASTRAL, F.get(_name_list(high), point - _ASTRAL)
-    ).otherwise(F.get(_name_list(shown[c] for c in low), at - 1))
+    ).otherwise(F.get(_name_list(names.single[c] for c in low), at - 1))
 
 
 def _region_name(pair: Column, names: EmojiNames) -> Column:
@@ -87,38 +87,47 @@ def _region_name(pair: Column, names: EmojiNames) -> Column:
 
 
 def _joined_name(sequence: Column, names: EmojiNames) -> Column:
-    listed = "|".join(f"{parts}={_with_tone_mark(name)}" for parts, name in names.joined.items())
+    listed = "|".join(f"{parts}={name}" for parts, name in names.joined.items())
     return F.element_at(F.str_to_map(F.lit(listed), F.lit(r"\|"), F.lit("=")), sequence)
 
 
-def _tone_suffix(piece: Column, names: EmojiNames) -> Column:
+def _toned(name: Column, piece: Column, names: EmojiNames) -> Column:
+    """The name with the skin tones of the piece, ahead of a trait such as hair."""
     listed = _name_list("_" + names.single[t] for t in TONES)
     tones = F.array_distinct(F.regexp_extract_all(piece, F.lit(_TONE), 0))
-    return F.array_join(F.transform(tones, lambda t: F.get(listed, F.ascii(t) - ord(TONES[0]))), "")
+    shown = F.transform(tones, lambda t: F.get(listed, F.ascii(t) - ord(TONES[0])))
+    tone = F.array_join(shown, "")
+    return F.regexp_replace(name, F.lit(_TRAIT), F.concat(F.lit("$1"), tone, F.lit("$2")))
+
+
+def _colons(name: Column, piece: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(":"), F.nullif(name, F.lit("")), F.lit(":")), piece)
 
 
 def _spoken(piece: Column, names: EmojiNames) -> Column:
-    bare = F.when(F.length(piece) == 1, piece).otherwise(
-        F.translate(piece, VS16 + TONES, "")
-    )
-    name = (
+    """The text for one piece, the frequent cases first."""
+    bare = F.translate(piece, VS16 + TONES, "")
+    sequence = (
         F.when(F.length(bare) == 1, _single_name(bare, names))
         .when(bare.rlike(f"^{_REGION}"), _region_name(bare, names))
         .otherwise(_joined_name(bare, names))
     )
-    toned = F.replace(F.nullif(name, F.lit("")), F.lit("~"), _tone_suffix(piece, names))
-    return F.coalesce(F.concat(F.lit(":"), toned, F.lit(":")), piece)
+    return (
+        F.when(F.ascii(piece) < 0xA9, piece)
+        .when(F.length(piece) == 1, _colons(_single_name(piece, names), piece))
+        .when(~piece.rlike(f"^[{_BLOCKS}]"), piece)
+        .otherwise(_colons(_toned(sequence, piece, names), piece))
+    )
 
 
 def handle_emojis(text: Column, names: EmojiNames | None = None) -> Column:
     """Each emoji becomes ``:name:``; a joined sequence, a flag and an emoji with
     skin tone or variation selector count as one."""
     names = names or default_names(SparkSession.active())
-    keyed = F.regexp_replace(text, _KEYCAP, ":keycap_$1:")
+    keyed = F.when(
+        text.contains(_KEYCAP_MARK), F.regexp_replace(text, _KEYCAP, ":keycap_$1:")
+    ).otherwise(text)
     pieces = F.regexp_extract_all(keyed, F.lit(_pieces_pattern(names)), 0)
-    starts_in_block = f"[{_BLOCKS}]"
-    named = F.transform(
-        pieces,
-        lambda p: F.when(F.substring(p, 1, 1).rlike(starts_in_block), _spoken(p, names)).otherwise(p),
-    )
-    return F.when(text.rlike(_GATE), F.array_join(named, "")).otherwise(text)
+    named = F.transform(pieces, lambda piece: _spoken(piece, names))
+    may_hold_emoji = text.rlike(f"[{_WIDE}]") & text.rlike(f"[{_BLOCKS}]")
+    return F.when(may_hold_emoji, F.array_join(named, "")).otherwise(text)

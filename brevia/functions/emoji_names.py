@@ -246,7 +246,7 @@ _TAG_FLAGS = {"gbeng": "England", "gbsct": "Scotland", "gbwls": "Wales"}
 class EmojiNames:
     """Spoken names: of one code point, of joined sequences (without variation
     selectors and skin tones) and of two-letter regions; plus the code points
-    that take a skin tone.  ``~`` marks where the tone goes if not at the end."""
+    that take a skin tone."""
 
     single: dict[str, str]
     joined: dict[str, str]
@@ -254,10 +254,6 @@ class EmojiNames:
     tonable: frozenset[str] = frozenset()
 
 
-def _mark_tone(name: str) -> str:
-    return re.sub(r"^(person|man|woman)(_beard|_\w+_hair|_bald)$", r"\1~\2", name)
-
-
 def _single_names() -> dict[str, str]:
     names = {}
     for char in regex.findall(r"\p{Emoji}", "".join(map(chr, range(0xA0, 0x1FB00)))):
@@ -272,7 +268,7 @@ def _single_names() -> dict[str, str]:
             char = entry
         else:
             names[char] = entry
-    return {char: _mark_tone(name) for char, name in names.items()}
+    return names
 
 
 def _gendered_name(name: str, woman: bool) -> str:
@@ -281,7 +277,7 @@ def _gendered_name(name: str, woman: bool) -> str:
     if name == "deaf_person":
         return "deaf_woman" if woman else "deaf_man"
     word, plural = ("woman", "women") if woman else ("man", "men")
-    name, swapped = re.subn(r"^person(?=[_~])", word, name)
+    name, swapped = re.subn(r"^person(?=_)", word, name)
     name, swapped_many = re.subn(r"^people(?=_)", plural, name)
     return name if swapped or swapped_many else f"{word}_{name}"
 
@@ -295,7 +291,7 @@ def _joined_names(single: dict[str, str]) -> dict[str, str]:
         for part, trait in _TRAITS.items():
             names[person + ZWJ + part] = f"{word or 'person'}_{trait}"
     for char, name in single.items():
-        if name in _GENDERED or (name.startswith(("person_", "person~")) and name not in _UNGENDERED):
+        if name in _GENDERED or (name.startswith("person_") and name not in _UNGENDERED):
             names[char + ZWJ + FEMALE] = _gendered_name(name, woman=True)
             names[char + ZWJ + MALE] = _gendered_name(name, woman=False)
     for base, name in list(single.items()) + list(names.items()):
@@ -311,7 +307,7 @@ def _joined_names(single: dict[str, str]) -> dict[str, str]:
         names[ZWJ.join((first, "❤", "💋", second))] = f"kiss_{pair}"
     for region, name in _TAG_FLAGS.items():
         names["🏴" + "".join(chr(0xE0000 + ord(c)) for c in region) + "\U000e007f"] = name
-    return {parts: _mark_tone(name) for parts, name in names.items()}
+    return names
 
 
 def region_names(spark) -> dict[str, str]:
@@ -364,6 +360,4 @@ def names_from_unicode_file(spark, path: str) -> EmojiNames:
             regions["".join(chr(ord(c) - REGIONAL_A + 65) for c in chars)] = name
         elif len(bare) > 1:
             joined.setdefault(bare, name)
-    single = {char: _mark_tone(name) for char, name in single.items()}
-    joined = {parts: _mark_tone(name) for parts, name in joined.items()}
     return EmojiNames(single, joined, regions, frozenset(tonable))

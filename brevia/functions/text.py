@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import LABEL_NAMES, NOISE, TOKEN, WORD
+from .patterns import LABEL_NAMES, NOISE, NOISE_MARKS, TOKEN, WORD
 
 
 def n_chars(text: Column) -> Column:
@@ -53,7 +53,10 @@ def banner_text(word: Column) -> Column:
 
 
 def noise_flag(text: Column, pattern: str) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(NOISE[pattern])
+    text = F.coalesce(text, F.lit(""))
+    flag = text.rlike(NOISE[pattern])
+    mark = NOISE_MARKS.get(pattern)
+    return text.contains(mark) & flag if mark else flag
 
 
 def label_name(label: Column) -> Column:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ..functions.patterns import (
-    HASHTAG, LABEL_NAMES, MENTION, NOISE, TOKEN, URL, URL_TOKEN, USER_TOKEN, WHITESPACE, WORD,
+    HASHTAG, LABEL_NAMES, MENTION, NOISE, SPACE_CLASS, TOKEN, URL, URL_TOKEN, USER_TOKEN,
+    VISIBLE_RUN, WHITESPACE, WORD,
 )
 from ..operators.tokens import BOS, DEFAULT_SIZE, EOS, MAX_LENGTH, PAD, SPECIAL_TOKENS, UNK
 from ..sources import synthetic as syn
@@ -16,12 +17,21 @@ TEXTS = f"WITH {CTE_TEXTS}"
 POSTS = f"WITH {CTE_TEXTS}, {CTE_POSTS}"
 
 
+def re2(pattern: str) -> str:
+    """The pattern for RE2, whose classes have no Unicode white space."""
+    return pattern.replace(VISIBLE_RUN, f"[^{SPACE_CLASS}]+")
+
+
 def replaced(text: str, pattern: str, by: str) -> str:
-    return f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return f"regexp_replace({text}, '{re2(pattern)}', '{by}', 'g')"
+
+
+def matches(pattern: str) -> str:
+    return f"regexp_matches(text, '{re2(pattern)}')"
 
 
-def count_of(text: str, pattern: str) -> str:
-    return f"CAST(len(regexp_extract_all({text}, '{pattern}')) AS INTEGER)"
+def count_of(text: str, pattern: str, kind: str = "BIGINT") -> str:
+    return f"CAST(len(regexp_extract_all({text}, '{re2(pattern)}')) AS {kind})"
 
 
 def named(text: str, names: dict[str, str]) -> str:
@@ -95,8 +105,8 @@ def report(source: str) -> str:
     ])
 
 
-TOKEN_COUNT = f"CAST(len(regexp_extract_all(text, '{TOKEN}')) AS BIGINT)"
-WORD_COUNT = f"CAST(len(regexp_extract_all(text, '{WORD}')) AS BIGINT)"
+TOKEN_COUNT = count_of("text", TOKEN)
+WORD_COUNT = count_of("text", WORD)
 LENGTHS = (
     "lengths AS (SELECT split, 'chars' AS metric, length(text) AS value FROM texts"
     f" UNION ALL SELECT split, 'words', {WORD_COUNT} FROM texts)"
@@ -134,8 +144,8 @@ AUTO_BINS = (
 
 def noise_profile() -> str:
     rows = " UNION ALL ".join(
-        f"SELECT '{name}' AS pattern, count(*) FILTER (regexp_matches(text, '{pattern}')) AS occurrences,"
-        f" count(*) FILTER (regexp_matches(text, '{pattern}')) / count(*) * 100 AS pct"
+        f"SELECT '{name}' AS pattern, count(*) FILTER ({matches(pattern)}) AS occurrences,"
+        f" count(*) FILTER ({matches(pattern)}) / count(*) * 100 AS pct"
         " FROM texts WHERE split = 'train'"
         for name, pattern in NOISE.items()
     )
@@ -230,13 +240,13 @@ ORACLE: dict[str, str] = {
     ),
     "text_lengths": (
         f"{TEXTS} SELECT id, CAST(length(text) AS INTEGER) AS n_chars,"
-        f" {count_of('text', WORD)} AS n_words FROM texts"
+        f" {count_of('text', WORD, 'INTEGER')} AS n_words FROM texts"
     ),
     "noise_flags": f"{TEXTS} SELECT id, " + ", ".join(
-        f"regexp_matches(text, '{pattern}') AS has_{name}" for name, pattern in NOISE.items()
+        f"{matches(pattern)} AS has_{name}" for name, pattern in NOISE.items()
     ) + " FROM texts",
     "batch_map": f"{TEXTS} SELECT id, split, CAST(length(text) AS BIGINT) AS n_points FROM texts",
-    "token_counts": on_text(count_of("text", TOKEN), "n_tokens"),
+    "token_counts": on_text(count_of("text", TOKEN, "INTEGER"), "n_tokens"),
     "vocabulary": f"{TEXTS}, {VOCABULARY} SELECT token, n, token_id FROM vocabulary",
     "encode_tokens": encoded(MAX_LENGTH),
     "encode_tokens_joined": encoded(64),
