@@ -15,17 +15,20 @@ def value_balance(left: DataFrame, right: DataFrame, value_col: str, id_col: str
 
     Both sides are stacked and counted instead of joined: one shuffle, hash
     aggregation with a partial count, and a key repeated on both sides cannot
-    multiply.  Null values count as a value.
+    multiply.  A SHA-256 digest and the beginning stand for the value, so whole
+    texts are not shuffled.  Null values count as a value.
     """
     def side(df: DataFrame, n_left: int, n_right: int) -> DataFrame:
+        value = F.col(value_col)
         return df.select(
-            F.col(id_col).alias("id"), F.col(value_col).alias("value"),
-            F.lit(n_left).alias("l"), F.lit(n_right).alias("r"),
+            F.col(id_col).alias("id"), F.sha2(value, 256).alias("digest"),
+            mismatch_preview(value).alias("shown"), F.lit(n_left).alias("l"),
+            F.lit(n_right).alias("r"),
         )
 
     return (
         side(left, 1, 0).unionByName(side(right, 0, 1))
-        .groupBy("id", "value")
+        .groupBy("id", "digest", "shown")
         .agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
     )
 
@@ -52,15 +55,15 @@ def parity_mismatches(
     left: DataFrame, right: DataFrame, value_col: str, n: int = 3, id_col: str = "id"
 ) -> DataFrame:
     """The first ``n`` differing keys with the beginning of both values."""
-    def value_of(more: str, less: str):
-        return mismatch_preview(F.min(F.when(F.col(more) > F.col(less), F.col("value"))))
+    def shown(more: str, less: str):
+        return F.min(F.when(F.col(more) > F.col(less), F.col("shown")))
 
     return (
         value_balance(left, right, value_col, id_col)
         .filter(_DIFFERS)
         .groupBy("id")
-        .agg(value_of("n_left", "n_right").alias("left_text"),
-             value_of("n_right", "n_left").alias("right_text"))
+        .agg(shown("n_left", "n_right").alias("left_text"),
+             shown("n_right", "n_left").alias("right_text"))
         .orderBy("id")
         .limit(n)
     )

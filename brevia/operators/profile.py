@@ -194,20 +194,29 @@ def noise_profile(df: DataFrame, text_col: str = "text", split: str = "train") -
 def sample_per_class(df: DataFrame, n: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
     """``n`` rows of each class in a seeded random order, all rows if a class has fewer.
 
-    Up to ``GROUP_LIMIT`` rows Spark cuts each task's input to its own first n before
-    the shuffle, so a large class sends n rows per task.  For larger samples the
-    first n are taken within salted parts of the class, then among those.
+    The rows are chosen on (id, label) alone, so texts are neither sorted nor
+    shuffled, and then fetched by their ids, which must be unique.  Up to
+    ``GROUP_LIMIT`` rows Spark cuts each task's input to its own first n before the
+    shuffle, so a large class sends n rows per task, and the chosen ids are few
+    enough to broadcast.  For larger samples the first n are taken within salted
+    parts of the class, then among those, and the join is left to the optimizer.
     """
     key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
-    ranked = with_label_name(df).filter(F.col("label_name").isin(*LABEL_NAMES))
-    ranked = ranked.withColumn("__key", key)
-    order = [F.col("__key"), F.col(id_col)]
+    known = F.col("label").isin(*range(len(LABEL_NAMES)))
+    ranked = df.filter(known).select(id_col, "label", key.alias("key"))
+    order = [F.col("key"), F.col(id_col)]
     if n > GROUP_LIMIT:
         part = Window.partitionBy("label", F.pmod(F.xxhash64(id_col), F.lit(SAMPLE_SALTS)))
-        ranked = ranked.withColumn("__part_rank", F.row_number().over(part.orderBy(*order)))
-        ranked = ranked.filter(F.col("__part_rank") <= n).drop("__part_rank")
+        ranked = ranked.withColumn("part_rank", F.row_number().over(part.orderBy(*order)))
+        ranked = ranked.filter(F.col("part_rank") <= n)
     rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-    return ranked.withColumn("sample_rank", rank).filter(F.col("sample_rank") <= n).drop("__key")
+    chosen = (
+        ranked.withColumn("sample_rank", rank).filter(F.col("sample_rank") <= n)
+        .select(id_col, "sample_rank")
+    )
+    if n <= GROUP_LIMIT:
+        chosen = F.broadcast(chosen)
+    return with_label_name(df.filter(known).join(chosen, id_col))
 
 
 def head_rows(df: DataFrame, n: int = 5, id_col: str = "id") -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -42,6 +42,15 @@ def build_vocabulary(df: DataFrame, size: int = DEFAULT_SIZE, text_col: str = "t
     return top.select("token", "n", (position + len(SPECIAL_TOKENS) - 1).alias("token_id"))
 
 
+def save_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """Store the vocabulary, so that later encodings do not count the tokens again."""
+    vocabulary.write.mode("overwrite").parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def _framed(ids: Column, max_length: int) -> Column:
     body = F.concat(F.array(F.lit(BOS)), ids, F.array(F.lit(EOS)))
     return F.concat(body, F.array_repeat(F.lit(PAD), F.lit(max_length) - F.size(body)))
@@ -82,6 +91,7 @@ def encode(
     Rows are cut to ``max_length`` including the two frame tokens, and padded.  A
     vocabulary of at most ``broadcast_rows`` rows goes to the executors and the
     encoding is a narrow step.  A larger one is joined; then ``id_col`` must be unique.
+    The vocabulary is read more than once, so pass a stored one.
     """
     cut = F.slice(tokens(F.col(text_col)), 1, max_length - 2)
     listed = vocabulary.select("token_id", "token").limit(broadcast_rows + 1).collect()

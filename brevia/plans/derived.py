@@ -116,8 +116,6 @@ def post_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with an array of three scores."""
-    return posts(spark, sf_dir).selectExpr(
-        "id", "label", "split", "text", f"array({', '.join(SCORES)}) AS scores"
-    )
+def with_scores(table: DataFrame) -> DataFrame:
+    """Append the array of the three scores."""
+    return table.selectExpr("*", f"array({', '.join(SCORES)}) AS scores")

@@ -17,8 +17,7 @@ from ..sources.readers import load_splits, read_posts, union_splits
 from ..sources.writers import scratch_path, write_csv, write_parquet
 from ..streaming.cleaning import clean_stream
 from .derived import (
-    EMOJI_TEXT, GOOD_TEXT, SPLITS, documents, labels, post_labels, post_texts, posts,
-    scored_posts,
+    EMOJI_TEXT, GOOD_TEXT, SPLITS, documents, labels, post_labels, post_texts, posts, with_scores,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -140,13 +139,19 @@ def _vocabulary(spark, sf, size=tokens.DEFAULT_SIZE):
     return tokens.build_vocabulary(_in_split(post_texts(spark, sf), "train"), size)
 
 
+def _stored_vocabulary(spark, sf):
+    path = scratch_path(spark, "vocabulary")
+    tokens.save_vocabulary(_vocabulary(spark, sf), path)
+    return tokens.load_vocabulary(spark, path)
+
+
 def q_encode_tokens(spark, sf):
-    encoded = tokens.encode(posts(spark, sf), _vocabulary(spark, sf))
+    encoded = tokens.encode(posts(spark, sf), _stored_vocabulary(spark, sf))
     return encoded.select("id", "label", "split", _as_text("input_ids"), _as_text("attention_mask"))
 
 
 def q_encode_tokens_joined(spark, sf):
-    encoded = tokens.encode(posts(spark, sf), _vocabulary(spark, sf), max_length=64,
+    encoded = tokens.encode(posts(spark, sf), _stored_vocabulary(spark, sf), max_length=64,
                             broadcast_rows=0)
     return encoded.select("id", "label", "split", _as_text("input_ids"), _as_text("attention_mask"))
 
@@ -158,15 +163,20 @@ def q_sample_per_class(spark, sf):
     return sampled.select("id", "label_name", "sample_rank", text.preview(F.col("text")).alias("text"))
 
 
+def _first_test_rows(spark, sf):
+    """The first 1,000 rows of the test split, scored after they are chosen."""
+    rows = profile.head_rows(_in_split(posts(spark, sf), "test"), 1000)
+    return metrics.with_prediction(with_scores(rows))
+
+
 def q_eval_subset(spark, sf):
-    test = _in_split(scored_posts(spark, sf), "test")
-    return metrics.with_prediction(profile.head_rows(test, 1000)).select("id", "label", "pred")
+    return _first_test_rows(spark, sf).select("id", "label", "pred")
 
 
 # Measures --------------------------------------------------------------------
 
 def _predicted(spark, sf):
-    return metrics.with_prediction(scored_posts(spark, sf))
+    return metrics.with_prediction(with_scores(posts(spark, sf)))
 
 
 def q_eval_metrics(spark, sf):
@@ -178,8 +188,7 @@ def _report(df):
 
 
 def q_baseline_report(spark, sf):
-    test = _in_split(scored_posts(spark, sf), "test")
-    return _report(metrics.with_prediction(profile.head_rows(test, 1000)))
+    return _report(_first_test_rows(spark, sf))
 
 
 def _two_outputs(spark, sf):
