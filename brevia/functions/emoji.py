@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from .emoji_names import REGIONAL_A, TONES, VS16, ZWJ, EmojiNames, default_names
 
 # Blocks that hold emoji; a code point in them without a name is left as it is.  Java
-# is slow on classes of several ranges, so a wide class of one range sorts out Latin,
-# Greek, Cyrillic, Arabic and Indic text first.
+# is slow on classes of several ranges, so a wide class of one range, which also has
+# the scripts of East Asia, serves as the gate and takes most text between emoji.
 _WIDE = r"\x{203C}-\x{1FAFF}\x{A9}\x{AE}"
 _BLOCKS = r"\x{203C}-\x{303D}\x{3297}-\x{3299}\x{1F004}-\x{1FAFF}\x{A9}\x{AE}"
 _KEYCAP_MARK = "⃣"
@@ -129,5 +129,4 @@ def handle_emojis(text: Column, names: EmojiNames | None = None) -> Column:
     ).otherwise(text)
     pieces = F.regexp_extract_all(keyed, F.lit(_pieces_pattern(names)), 0)
     named = F.transform(pieces, lambda piece: _spoken(piece, names))
-    may_hold_emoji = text.rlike(f"[{_WIDE}]") & text.rlike(f"[{_BLOCKS}]")
-    return F.when(may_hold_emoji, F.array_join(named, "")).otherwise(text)
+    return F.when(text.rlike(f"[{_WIDE}]"), F.array_join(named, "")).otherwise(text)

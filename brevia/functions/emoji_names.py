@@ -242,7 +242,7 @@ _RENAMED_REGIONS = {"TR": "Türkiye"}
 _TAG_FLAGS = {"gbeng": "England", "gbsct": "Scotland", "gbwls": "Wales"}
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class EmojiNames:
     """Spoken names: of one code point, of joined sequences (without variation
     selectors and skin tones) and of two-letter regions; plus the code points

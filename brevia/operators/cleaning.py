@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import lru_cache
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clean import handle_emojis, replace_markup, to_lowercase
-from ..functions.emoji_names import EmojiNames
+from ..functions.emoji_names import EmojiNames, default_names
 from ..functions.patterns import CLEAN_SUFFIX
 from ..sources.readers import read_posts, require_text_column
 from ..sources.writers import write_parquet
 
 
+_MARKED = "__marked"
+
+
+@lru_cache(maxsize=4)
+def _cleaned_marked(application: str, names: EmojiNames) -> Column:
+    """The last steps over the marked-up text; kept, as building them takes a while."""
+    return to_lowercase(handle_emojis(F.col(_MARKED), names))
+
+
 def clean_posts(
     df: DataFrame, text_col: str = "text", output_col: str | None = None,
     names: EmojiNames | None = None,
@@ -23,14 +34,12 @@ def clean_posts(
     more than once.
     """
     require_text_column(df, text_col)
-    marked = "__marked"
+    spark = df.sparkSession
+    cleaned = _cleaned_marked(spark.sparkContext.applicationId, names or default_names(spark))
     return (
-        df.withColumn(marked, replace_markup(F.col(text_col)))
-        .withColumn(
-            output_col or text_col + CLEAN_SUFFIX,
-            to_lowercase(handle_emojis(F.col(marked), names)),
-        )
-        .drop(marked)
+        df.withColumn(_MARKED, replace_markup(F.col(text_col)))
+        .withColumn(output_col or text_col + CLEAN_SUFFIX, cleaned)
+        .drop(_MARKED)
     )
 
 
