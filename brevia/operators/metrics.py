@@ -43,7 +43,7 @@ def _class_counts(df: DataFrame, label_col: str, pred_col: str) -> DataFrame:
 
 def _ratio(part, whole):
     """A quotient that is 0 where it is undefined."""
-    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
 def class_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
@@ -59,7 +59,7 @@ def class_metrics(df: DataFrame, label_col: str = "label", pred_col: str = "pred
 def evaluate(df: DataFrame, label_col: str = "label", pred_col: str = "pred") -> DataFrame:
     """One row with accuracy and macro F1 over the classes seen in truth or prediction."""
     return class_metrics(df, label_col, pred_col).agg(
-        (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg("f1_score").alias("f1_macro")
+        F.try_divide(F.sum("tp"), F.sum("support")).alias("accuracy"), F.avg("f1_score").alias("f1_macro")
     )
 
 
@@ -97,9 +97,10 @@ def classification_report(
     support = F.sum("support")
     rolled = class_metrics(df, label_col, pred_col).rollup("class").agg(
         F.grouping("class").alias("is_total"), support.alias("support"),
-        (F.sum("tp") / support).alias("accuracy"),
+        F.try_divide(F.sum("tp"), support).alias("accuracy"),
         *(F.avg(m).alias(m) for m in measures),
-        *((F.sum(F.col(m) * F.col("support")) / support).alias(f"weighted_{m}") for m in measures),
+        *(F.try_divide(F.sum(F.col(m) * F.col("support")), support).alias(f"weighted_{m}")
+          for m in measures),
     )
 
     def row(name, precision, recall, f1):

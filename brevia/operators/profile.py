@@ -185,7 +185,7 @@ def noise_profile(df: DataFrame, text_col: str = "text", split: str = "train") -
     rows = F.array(*(
         F.struct(F.lit(p).alias("pattern"), F.col(p).alias("occurrences")) for p in NOISE
     ))
-    share = F.col("occurrences").cast("double") / F.col("n_rows") * 100
+    share = F.try_divide(F.col("occurrences").cast("double"), F.col("n_rows")) * 100
     return totals.select("n_rows", F.inline(rows)).select(
         "pattern", "occurrences", share.alias("pct")
     )

@@ -39,6 +39,7 @@ def read_posts(
 
     A CSV file with line breaks inside fields cannot be split, so one such file is
     one task: keep many files, or pass ``multi_line=False`` if no field has a break.
+    In a file whose rows end in CRLF, Spark reads a CRLF inside a field as LF.
     Without a schema every CSV column is read as string, which saves a second scan.
     """
     fmt = fmt or detect_format(path)
