@@ -24,20 +24,33 @@ BROADCAST_ROWS = 200_000
 JOIN_SALTS = 32
 
 
+def token_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """How often each token occurs, with a partial count per task, so that frequent
+    tokens do not burden one reducer."""
+    return (
+        df.select(F.explode(tokens(F.col(text_col))).alias("token"))
+        .groupBy("token")
+        .agg(F.count("*").alias("n"))
+    )
+
+
 def build_vocabulary(df: DataFrame, size: int = DEFAULT_SIZE, text_col: str = "text") -> DataFrame:
     """The ``size`` most frequent tokens with ids after the reserved ones.
 
-    Tokens are counted with a partial count per task, so frequent tokens do not
-    burden one reducer.  Ties are broken by the token.  Only the ``size`` rows of
-    the result are numbered in one task.
+    Ties are broken by the token.  The number of tokens of each frequency gives the
+    lowest frequency that can be in the result; rarer tokens are dropped where they
+    are, and only the rest is ordered and numbered in one task.  Both readings of
+    the frequencies share one shuffle.
     """
-    counts = (
-        df.select(F.explode(tokens(F.col(text_col))).alias("token"))
-        .groupBy("token")
-        .agg(F.count("*").alias("n"))
+    counts = token_frequencies(df, text_col)
+    reached = F.sum("tokens").over(Window.orderBy(F.desc("n")))
+    lowest = (
+        counts.groupBy("n").agg(F.count("*").alias("tokens"))
+        .select("n", reached.alias("reached"))
+        .agg(F.coalesce(F.max(F.when(F.col("reached") >= size, F.col("n"))), F.lit(0)))
     )
     order = [F.desc("n"), F.asc("token")]
-    top = counts.orderBy(*order).limit(size)
+    top = counts.filter(F.col("n") >= lowest.scalar()).orderBy(*order).limit(size)
     position = F.row_number().over(Window.orderBy(*order))
     return top.select("token", "n", (position + len(SPECIAL_TOKENS) - 1).alias("token_id"))
 

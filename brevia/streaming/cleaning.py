@@ -16,14 +16,16 @@ from ..sources.readers import CSV_OPTIONS, UNSUPPORTED
 def clean_stream(
     spark: SparkSession, source: str, schema: T.StructType | str, target: str, checkpoint: str,
     text_col: str = "text", fmt: str = "parquet", available_now: bool = True,
+    max_files: int = 10_000,
 ) -> StreamingQuery:
     """Clean every new file of a folder into a Parquet folder, each row once.
 
     ``checkpoint`` and ``target`` must be on storage that outlives the executors.
+    ``max_files`` bounds one micro-batch, so a backlog is worked off in steps.
     """
     if fmt not in ("csv", "parquet"):
         raise ValueError(UNSUPPORTED)
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
         reader = reader.options(**CSV_OPTIONS, multiLine=True)
     writer = (
