@@ -11,17 +11,26 @@ from .patterns import HASHTAG, MENTION, URL, URL_TOKEN, USER_TOKEN, WHITESPACE
 
 __all__ = [
     "clean_text", "handle_emojis", "normalize_hashtags", "remove_mentions", "remove_urls",
-    "replace_markup", "to_lowercase",
+    "replace_markup", "replace_urls", "strip", "to_lowercase",
 ]
 
 
-def remove_urls(text: Column) -> Column:
-    """Replace http(s) addresses by the URL token and strip white space at both ends.
+def strip(text: Column) -> Column:
+    """Without white space at both ends.
 
     A character-set trim is used because a ``\\s+$`` pattern rescans every inner
     run of white space of a long text.
     """
-    return F.btrim(F.regexp_replace(text, URL, URL_TOKEN), F.lit(WHITESPACE))
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
+def replace_urls(text: Column) -> Column:
+    return F.regexp_replace(text, URL, URL_TOKEN)
+
+
+def remove_urls(text: Column) -> Column:
+    """Replace http(s) addresses by the URL token and strip both ends."""
+    return strip(replace_urls(text))
 
 
 def remove_mentions(text: Column) -> Column:

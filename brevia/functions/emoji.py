@@ -53,14 +53,20 @@ def _joined_pattern(names: EmojiNames) -> str:
 
 
 def _pieces_pattern(names: EmojiNames) -> str:
-    # The look-ahead keeps plain emoji from trying every joined sequence.
+    """Runs of other text, or one emoji with all that belongs to it.
+
+    The first two branches take nearly everything; look-aheads keep the classes and
+    lists of many members from being tried where they cannot match.
+    """
+    alone = rf"(?![\x{{FE0F}}\x{{200D}}])(?!{_REGION})(?!{_TONE})(?!\x{{E0067}})"
     joined = rf"(?=.(?:\x{{FE0F}}|{_TONE})?[\x{{200D}}\x{{E0067}}])(?:{_joined_pattern(names)})"
     return "|".join([
         rf"[^{_WIDE}]+",
+        rf"[\x{{1F004}}-\x{{1FAFF}}]{alone}",
         rf"[^{_BLOCKS}]+",
         joined,
         rf"{_REGION}{{2}}",
-        rf"[{_points(names.tonable)}]{_TONE}",
+        rf"(?=.{_TONE})[{_points(names.tonable)}]{_TONE}",
         rf"[{_BLOCKS}]\x{{FE0F}}?",
     ])
 

@@ -7,7 +7,9 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.clean import handle_emojis, replace_markup, to_lowercase
+from ..functions.clean import (
+    handle_emojis, normalize_hashtags, remove_mentions, replace_urls, strip, to_lowercase,
+)
 from ..functions.emoji_names import EmojiNames, default_names
 from ..functions.patterns import CLEAN_SUFFIX
 from ..sources.readers import read_posts, require_text_column
@@ -15,6 +17,8 @@ from ..sources.writers import write_parquet
 
 
 _MARKED = "__marked"
+# The pattern rules and a mark without which a text cannot match.
+MARKED_RULES = (("://", replace_urls), ("@", remove_mentions), ("#", normalize_hashtags))
 
 
 @lru_cache(maxsize=4)
@@ -29,18 +33,19 @@ def clean_posts(
 ) -> DataFrame:
     """Add the cleaned text; a narrow step without shuffle or Python worker.
 
-    The pattern rules get a projection of their own, so they run inside
-    whole-stage code and only once although the emoji step looks at its input
-    more than once.
+    Each pattern rule has a projection of its own inside one span of generated code
+    and runs only on texts with its mark; the emoji step, which looks at its input
+    more than once, comes after them.  Stripping first is the same as stripping
+    after the addresses, since these hold no white space.
     """
     require_text_column(df, text_col)
     spark = df.sparkSession
     cleaned = _cleaned_marked(spark.sparkContext.applicationId, names or default_names(spark))
-    return (
-        df.withColumn(_MARKED, replace_markup(F.col(text_col)))
-        .withColumn(output_col or text_col + CLEAN_SUFFIX, cleaned)
-        .drop(_MARKED)
-    )
+    marked = F.col(_MARKED)
+    df = df.withColumn(_MARKED, strip(F.coalesce(F.col(text_col), F.lit(""))))
+    for mark, rule in MARKED_RULES:
+        df = df.withColumn(_MARKED, F.when(marked.contains(mark), rule(marked)).otherwise(marked))
+    return df.withColumn(output_col or text_col + CLEAN_SUFFIX, cleaned).drop(_MARKED)
 
 
 def clean_file(
