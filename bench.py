@@ -4,18 +4,23 @@ Prints one JSON line.  Every query runs once to warm up and is then timed; all i
 rows and columns are computed and dropped.  ``clean_csv_N`` is the whole cleaning job
 on N synthetic posts: read CSV, clean, write Parquet; ``clean_only_N`` is the cleaning
 of N posts from Parquet without the write.  Start-up of the session is reported apart.
+``comparison`` sets the job beside a plain Python loop over the same posts in memory;
+the speed-up is given only if both texts agree on every post.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import shutil
 import statistics
 import tempfile
 import time
 
+from brevia.functions.emoji_names import VS16, default_names
 from brevia.operators.cleaning import clean_file, clean_posts
+from brevia.operators.parity import parity_check
 from brevia.plans.queries import QUERIES
 from brevia.session import local_session
 from brevia.sources.readers import read_posts
@@ -46,6 +51,41 @@ def drop_rows(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def python_cleaner(names):
+    """The rules as a function of one text, for the comparison."""
+    words = {**names.single, **names.joined}
+    keys = "|".join(map(re.escape, sorted(words, key=len, reverse=True)))
+    emoji = re.compile(f"({keys}){VS16}?")
+    marks = [(re.compile(p), by) for p, by in (
+        (r"https?://\S+", "[URL]"), (r"^\s+|\s+$", ""), (r"@\w+", "@user"), (r"#(\w+)", r"\1"))]
+
+    def clean(text: str) -> str:
+        for pattern, by in marks:
+            text = pattern.sub(by, text)
+        return emoji.sub(lambda found: f":{words[found[1]]}:", text).lower()
+
+    return clean
+
+
+def comparison(spark, seconds: dict[str, float]) -> list[dict]:
+    clean, rows = python_cleaner(default_names(spark)), []
+    for n in SIZES[:3]:
+        posts = generate_posts(spark, n)
+        listed = [tuple(row) for row in posts.collect()]
+        start = time.perf_counter()
+        cleaned = [(i, clean(text)) for i, text in listed]
+        loop = time.perf_counter() - start
+        plain = spark.createDataFrame(cleaned, "id long, text_cleaned string")
+        result = parity_check(plain, clean_posts(posts), "text_cleaned").first()
+        spark_seconds = seconds[f"clean_csv_{n}"]
+        rows.append({
+            "rows": n, "python_seconds": round(loop, 3), "spark_seconds": round(spark_seconds, 3),
+            "parity": result.all_match, "mismatches": result.mismatch_count,
+            "speedup": round(loop / spark_seconds, 1) if result.all_match else None,
+        })
+    return rows
+
+
 def cleaning_times(spark, folder: str) -> tuple[dict[str, float], dict[str, int]]:
     seconds, rates = {}, {}
     for n in SIZES:
@@ -81,6 +121,7 @@ def main() -> None:
             job()
             queries[name] = timed(job)
         cleaning, rates = cleaning_times(spark, scratch)
+        compared = comparison(spark, cleaning)
     finally:
         spark.stop()
         shutil.rmtree(scratch, ignore_errors=True)
@@ -90,7 +131,7 @@ def main() -> None:
         "queries": {name: round(value, 3) for name, value in queries.items()},
         "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
         "cpus": int(CPUS), "session_start_seconds": round(startup, 3),
-        "posts_per_second": rates,
+        "posts_per_second": rates, "comparison": compared,
     }))
 
 

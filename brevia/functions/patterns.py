@@ -34,8 +34,8 @@ NOISE = {
     "retweets": rf"(?:^|[^{WORD_CLASS}])RT(?:$|[^{WORD_CLASS}])",
     "emojis": r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}]",
 }
-# Text without this plain mark cannot match the pattern; looking for it is cheaper.
-NOISE_MARKS = {"retweets": "RT"}
+# Text without this cannot match the pattern, and looking for it is cheaper.
+NOISE_GATES = {"retweets": "RT", "emojis": r"[\x{1F1E0}-\x{1F6FF}]"}
 
 # Tokens of our own vocabulary: runs of word characters, or one other visible character.
 TOKEN = rf"[{WORD_CLASS}]+|[^{WORD_CLASS}{SPACE_CLASS}]"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import LABEL_NAMES, NOISE, NOISE_MARKS, TOKEN, WORD
+from .patterns import LABEL_NAMES, NOISE, NOISE_GATES, TOKEN, WORD
 
 
 def n_chars(text: Column) -> Column:
@@ -40,8 +40,8 @@ def mismatch_preview(text: Column, width: int = 80) -> Column:
 
 
 def percent_text(share: Column) -> Column:
-    """A percentage for display, e.g. ``12.5%``."""
-    return F.format_string("%.1f%%", share)
+    """A percentage for display, e.g. ``12.5%``, halves to the even digit."""
+    return F.format_string("%.1f%%", F.bround(share, 1))
 
 
 def title_text(word: Column) -> Column:
@@ -55,8 +55,8 @@ def banner_text(word: Column) -> Column:
 def noise_flag(text: Column, pattern: str) -> Column:
     text = F.coalesce(text, F.lit(""))
     flag = text.rlike(NOISE[pattern])
-    mark = NOISE_MARKS.get(pattern)
-    return text.contains(mark) & flag if mark else flag
+    gate = NOISE_GATES.get(pattern)
+    return text.rlike(gate) & flag if gate else flag
 
 
 def label_name(label: Column) -> Column:

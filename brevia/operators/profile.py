@@ -42,6 +42,11 @@ def class_balance(df: DataFrame) -> DataFrame:
     return counts.select("split", "label_name", "n_rows", share.alias("pct"))
 
 
+def by_count(balance: DataFrame) -> DataFrame:
+    """The classes of each split from the rarest to the most frequent, for display."""
+    return balance.orderBy("split", "n_rows")
+
+
 def value_counts(df: DataFrame, measures: dict[str, Column], *by: str) -> DataFrame:
     """(by..., metric, value, n): how often each value of each measure occurs."""
     pairs = F.array(*(

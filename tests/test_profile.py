@@ -1,6 +1,5 @@
 """Profile operators against plain numpy and Python."""
 
-import math
 import re
 
 import numpy as np
@@ -40,6 +39,11 @@ def test_counts_and_balance(posts):
         assert r.pct == pytest.approx(100 * len(same) / len(groups[r.split]))
 
 
+def test_classes_by_count(posts):
+    shown = profile.by_count(profile.class_balance(posts)).collect()
+    assert [(r.split, r.n_rows) for r in shown] == sorted((r.split, r.n_rows) for r in shown)
+
+
 def text_name(label):
     return ["negative", "neutral", "positive"][label]
 
@@ -172,8 +176,9 @@ def test_text_measures(one):
 
 
 def test_percent_text(spark):
-    row = spark.range(1).select(text.percent_text(F.lit(12.34)).alias("p")).first()
-    assert row.p == "12.3%" and math.isclose(12.34, 12.34)
+    df = spark.createDataFrame([(v,) for v in (12.34, 2.25, 100.0, 0.0)], "v double")
+    shown = [r[0] for r in df.select(text.percent_text(F.col("v"))).collect()]
+    assert shown == [f"{v:.1f}%" for v in (12.34, 2.25, 100.0, 0.0)]
 
 
 def test_head_is_by_id(posts):
