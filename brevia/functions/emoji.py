@@ -3,23 +3,27 @@
 A text is cut into emoji and the text between them, each emoji is replaced by
 its name, and the pieces are joined again.  Everything stays in the JVM and on
 the row, so there is no shuffle and no Python worker.  Texts without any emoji
-candidate skip all of it: they only pay for one scan of the gate.
+candidate skip all of it.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .emoji_names import REGIONAL_A, TONES, VS16, ZWJ, EmojiNames, default_names
 
-# Blocks that hold emoji; a code point in them without a name is left as it is.  Java
-# is slow on classes of several ranges, so a wide class of one range, which also has
-# the scripts of East Asia, serves as the gate and takes most text between emoji.
-_WIDE = r"\x{203C}-\x{1FAFF}\x{A9}\x{AE}"
+# Blocks that hold emoji; a code point in them without a name is left as it is.
 _BLOCKS = r"\x{203C}-\x{303D}\x{3297}-\x{3299}\x{1F004}-\x{1FAFF}\x{A9}\x{AE}"
+# Most text between emoji.  Java is slow on classes of several ranges, so this class of
+# two is tried before "anything outside the blocks".
+_COMMON = r"\x00-\x{A8}\x{AF}-\x{203B}"
+# First bytes in UTF-8 of the code points in the blocks: most emoji, and the others.
+_LEAD = "F09F"
+_OTHER_LEADS = ("E2", "E380", "E38A", "C2A9", "C2AE")
 _KEYCAP_MARK = "⃣"
 _KEYCAP = r"([0-9#*])\x{FE0F}?\x{20E3}"
 _TONE = r"[\x{1F3FB}-\x{1F3FF}]"
@@ -61,7 +65,7 @@ def _pieces_pattern(names: EmojiNames) -> str:
     alone = rf"(?![\x{{FE0F}}\x{{200D}}])(?!{_REGION})(?!{_TONE})(?!\x{{E0067}})"
     joined = rf"(?=.(?:\x{{FE0F}}|{_TONE})?[\x{{200D}}\x{{E0067}}])(?:{_joined_pattern(names)})"
     return "|".join([
-        rf"[^{_WIDE}]+",
+        rf"[{_COMMON}]+",
         rf"[\x{{1F004}}-\x{{1FAFF}}]{alone}",
         rf"[^{_BLOCKS}]+",
         joined,
@@ -126,6 +130,17 @@ def _spoken(piece: Column, names: EmojiNames) -> Column:
     )
 
 
+def may_hold_emoji(text: Column) -> Column:
+    """False for nearly all texts without emoji, at the cost of a few byte searches."""
+    raw = text.cast("binary")
+
+    def holds(lead: str) -> Column:
+        return F.contains(raw, F.lit(bytes.fromhex(lead)))
+
+    others = reduce(Column.__or__, map(holds, _OTHER_LEADS))
+    return holds(_LEAD) | (others & text.rlike(f"[{_BLOCKS}]"))
+
+
 def handle_emojis(text: Column, names: EmojiNames | None = None) -> Column:
     """Each emoji becomes ``:name:``; a joined sequence, a flag and an emoji with
     skin tone or variation selector count as one."""
@@ -135,4 +150,4 @@ def handle_emojis(text: Column, names: EmojiNames | None = None) -> Column:
     ).otherwise(text)
     pieces = F.regexp_extract_all(keyed, F.lit(_pieces_pattern(names)), 0)
     named = F.transform(pieces, lambda piece: _spoken(piece, names))
-    return F.when(text.rlike(f"[{_WIDE}]"), F.array_join(named, "")).otherwise(text)
+    return F.when(may_hold_emoji(text), F.array_join(named, "")).otherwise(text)
