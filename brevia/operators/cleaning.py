@@ -12,7 +12,7 @@ from ..functions.clean import (
 )
 from ..functions.emoji_names import EmojiNames, default_names
 from ..functions.patterns import CLEAN_SUFFIX
-from ..sources.readers import read_posts, require_text_column
+from ..sources.readers import read_posts, require_text_column, spread
 from ..sources.writers import write_parquet
 
 
@@ -53,4 +53,5 @@ def clean_file(
     mode: str = "errorifexists",
 ) -> None:
     """Read CSV or Parquet, clean one column, write Parquet."""
-    write_parquet(clean_posts(read_posts(spark, source), text_col), target, mode=mode)
+    posts = require_text_column(read_posts(spark, source), text_col)
+    write_parquet(clean_posts(spread(posts), text_col), target, mode=mode)

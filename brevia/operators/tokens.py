@@ -110,6 +110,8 @@ def encode(
     listed = vocabulary.select("token_id", "token").limit(broadcast_rows + 1).collect()
     if len(listed) <= broadcast_rows:
         ordered = [token for _, token in sorted(listed)]
+        if sorted(i for i, _ in listed) != [len(SPECIAL_TOKENS) + k for k in range(len(listed))]:
+            raise ValueError("token ids must follow the reserved ones without gaps")
         lookup = _lookup(ordered, df.sparkSession)
         with_ids = df.withColumn("__ids", lookup(cut))
     else:

@@ -217,7 +217,7 @@ ORACLE: dict[str, str] = {
     "label_names": f"{POSTS} SELECT id, label, split, {label_name()} AS label_name FROM posts",
     "clean_text": on_text(cleaned("text"), "text_cleaned"),
     "clean_passthrough": (
-        f"SELECT doc_id, text, lang, source, lower({markup('text')}) AS text_cleaned FROM documents"
+        f"SELECT *, lower({markup('text')}) AS text_cleaned FROM documents"
     ),
     "clean_nulls": (
         f"WITH good AS (SELECT doc_id AS id, coalesce({GOOD_TEXT}, '') AS body"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import clean, text
 from ..functions.patterns import NOISE
 from ..operators import metrics, model, parity, profile, tokens
-from ..operators.cleaning import clean_posts
+from ..operators.cleaning import clean_file, clean_posts
 from ..operators.mapping import map_batches
 from ..sources import synthetic
 from ..sources.readers import load_splits, read_posts, union_splits
@@ -81,7 +81,9 @@ def q_clean_text(spark, sf):
 
 
 def q_clean_passthrough(spark, sf):
-    return clean_posts(documents(spark, sf).drop("n_chars"), "text")
+    target = scratch_path(spark, "cleaned") + ".parquet"
+    clean_file(spark, f"{sf}/documents.parquet", target)
+    return read_posts(spark, target)
 
 
 def q_clean_nulls(spark, sf):
@@ -210,9 +212,11 @@ def q_parity_mismatches(spark, sf):
 
 def q_train_predict(spark, sf):
     table = posts(spark, sf)
-    fitted = model.fit(_in_split(table, "train"), TRAIN_CONFIG)
-    predicted = model.predict(fitted, _in_split(table, "test"), TRAIN_CONFIG)
-    return predicted.select("id", "label", "pred", F.element_at("scores", F.col("pred") + 1).alias("score"))
+    path = scratch_path(spark, "model")
+    model.save(model.fit(_in_split(table, "train"), TRAIN_CONFIG), path)
+    predicted = model.predict(model.load(path), _in_split(table, "test"), TRAIN_CONFIG)
+    best = F.element_at("scores", F.col("pred") + 1)
+    return predicted.select("id", "label", "pred", best.alias("score"))
 
 
 def q_model_selection(spark, sf):

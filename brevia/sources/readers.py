@@ -52,7 +52,7 @@ def read_posts(
     raise ValueError(UNSUPPORTED)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Share out a table that a scan delivers in fewer pieces than there are cores.
 
     Text rules cost far more than moving the text, so a file that cannot be split
@@ -60,7 +60,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
 def require_text_column(df: DataFrame, name: str = "text") -> DataFrame:

@@ -54,6 +54,12 @@ def test_small_vocabulary_needs_no_shuffle(posts):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ids_with_gaps_fail(spark, posts):
+    gaps = spark.createDataFrame([("a", 4), ("b", 6)], "token string, token_id int")
+    with pytest.raises(ValueError, match="without gaps"):
+        tokens.encode(posts, gaps)
+
+
 def test_stored_vocabulary(spark, posts):
     path = scratch_path(spark, "vocabulary")
     tokens.save_vocabulary(tokens.build_vocabulary(posts, 5), path)
