@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clean import clean_text
 from ..functions.patterns import LABEL_NAMES, TOKEN
 from ..functions.text import argmax
 from .metrics import evaluate
+from .tokens import MAX_LENGTH
 
 
 @dataclass(frozen=True)
@@ -91,6 +93,24 @@ def predict(model: PipelineModel, df: DataFrame, config: TrainConfig = TrainConf
     )
 
 
+def predict_external(
+    df: DataFrame, make_predict_fn: Callable, input_cols: Sequence[str] = ("input_ids",),
+    max_length: int = MAX_LENGTH, batch_size: int = 32,
+) -> DataFrame:
+    """``scores`` and ``pred`` from a model that Spark does not know, batch by batch.
+
+    ``make_predict_fn()`` loads the model once per Python worker and returns a function
+    from arrays of shape (rows, max_length), one per input column, to an array of
+    shape (rows, classes).
+    """
+    score = predict_batch_udf(
+        make_predict_fn, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+        input_tensor_shapes=[[max_length]] * len(input_cols),
+    )
+    scored = df.withColumn("scores", score(*input_cols))
+    return scored.withColumn("pred", argmax(F.col("scores")))
+
+
 def select_model(
     train: DataFrame, validation: DataFrame, config: TrainConfig = TrainConfig(),
     reg_params: Sequence[float] = DEFAULT_GRID,

@@ -17,8 +17,9 @@ BOS, PAD, EOS, UNK = range(len(SPECIAL_TOKENS))
 MAX_LENGTH = 128
 
 DEFAULT_SIZE = 50_000
-# The vocabulary has at most this many rows when it is sent to every executor.
+# The vocabulary has at most this many rows and bytes when it is sent to every executor.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # Copies of each vocabulary row when it is joined instead, so that a frequent token
 # is spread over as many tasks.
 JOIN_SALTS = 32
@@ -98,17 +99,22 @@ def _lookup(listed: list[str], spark):
 def encode(
     df: DataFrame, vocabulary: DataFrame, max_length: int = MAX_LENGTH, text_col: str = "text",
     id_col: str = "id", broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Replace the text by ``input_ids`` and ``attention_mask`` of length ``max_length``.
 
     Rows are cut to ``max_length`` including the two frame tokens, and padded.  A
-    vocabulary of at most ``broadcast_rows`` rows goes to the executors and the
-    encoding is a narrow step.  A larger one is joined; then ``id_col`` must be unique.
-    The vocabulary is read more than once, so pass a stored one.
+    vocabulary within ``broadcast_rows`` and ``broadcast_bytes``, which are measured
+    first, goes to the executors and the encoding is a narrow step.  A larger one is
+    joined; then ``id_col`` must be unique.  The vocabulary is read more than once, so
+    pass a stored one.
     """
     cut = F.slice(tokens(F.col(text_col)), 1, max_length - 2)
-    listed = vocabulary.select("token_id", "token").limit(broadcast_rows + 1).collect()
-    if len(listed) <= broadcast_rows:
+    n_tokens, n_bytes = vocabulary.agg(
+        F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))
+    ).first()
+    if n_tokens <= broadcast_rows and n_bytes <= broadcast_bytes:
+        listed = vocabulary.select("token_id", "token").collect()
         ordered = [token for _, token in sorted(listed)]
         if sorted(i for i, _ in listed) != [len(SPECIAL_TOKENS) + k for k in range(len(listed))]:
             raise ValueError("token ids must follow the reserved ones without gaps")

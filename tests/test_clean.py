@@ -93,3 +93,17 @@ def test_cleaning_is_one_narrow_native_step(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert "ReadSchema: struct<id:int,text:string>" in plan
+
+
+def test_synthetic_posts_equal_a_plain_loop(spark):
+    from bench import python_cleaner
+    from brevia.functions.emoji_names import default_names
+    from brevia.operators.parity import parity_check
+    from brevia.sources.synthetic import generate_posts
+
+    clean_one = python_cleaner(default_names(spark))
+    posts = generate_posts(spark, 1000)
+    rows = [(r.id, clean_one(r.text)) for r in posts.collect()]
+    loop = spark.createDataFrame(rows, "id long, text_cleaned string")
+    found = parity_check(loop, clean_posts(posts), "text_cleaned").first()
+    assert found.all_match and found.n_left == found.n_right == 1000

@@ -1,9 +1,10 @@
 """Training, selection, storage and scoring on a separable fixture."""
 
+import numpy as np
 import pytest
 
 from brevia.functions.patterns import LABEL_NAMES
-from brevia.operators import model
+from brevia.operators import model, tokens
 from brevia.operators.metrics import evaluate
 from brevia.sources.writers import scratch_path
 
@@ -58,3 +59,19 @@ def test_train_saves_the_best_model(spark, posts):
     assert result == {"accuracy": 1.0, "f1_macro": 1.0}
     again = model.predict(model.load(path), posts.filter("split = 'validation'"), CONFIG)
     assert evaluate(again).first().asDict() == result
+
+
+def test_external_model_on_encoded_posts(spark, posts):
+    vocabulary = tokens.build_vocabulary(posts, 50)
+    ids = {r.token: r.token_id for r in vocabulary.collect()}
+    marks = [ids[MARKS[label].split()[0]] for label in range(3)]
+
+    def load():
+        def score(batch):
+            return np.stack([(batch == m).sum(axis=1) for m in marks], axis=1).astype("float64")
+
+        return score
+
+    encoded = tokens.encode(posts, vocabulary, max_length=16)
+    scored = model.predict_external(encoded, load, max_length=16, batch_size=7)
+    assert evaluate(scored).first().asDict() == {"accuracy": 1.0, "f1_macro": 1.0}

@@ -49,6 +49,14 @@ def test_encode(posts, broadcast_rows, max_length):
     assert found == expected_rows(expected_vocabulary(7), max_length)
 
 
+def test_long_tokens_are_joined_not_sent(posts):
+    vocabulary = tokens.build_vocabulary(posts, 7)
+    encoded = tokens.encode(posts, vocabulary, 8, broadcast_bytes=10)
+    assert "Python" not in encoded._jdf.queryExecution().executedPlan().toString()
+    found = {r.id: (r.input_ids, r.attention_mask) for r in encoded.collect()}
+    assert found == expected_rows(expected_vocabulary(7), 8)
+
+
 def test_small_vocabulary_needs_no_shuffle(posts):
     plan = tokens.encode(posts, tokens.build_vocabulary(posts, 7))
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
