@@ -76,12 +76,27 @@ def with_class_weights(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", weight)
 
 
+def _training_rows(train: DataFrame, config: TrainConfig) -> DataFrame:
+    rows = prepare(train, config)
+    return with_class_weights(rows) if config.balance_classes else rows
+
+
+def _stored_features(features: PipelineModel, rows: DataFrame, *columns: str) -> DataFrame:
+    """Feature vectors kept on executors' memory and disk, as the solver reads them
+    several times; lost parts are recomputed from the source."""
+    kept = [c for c in (*columns, "weight") if c in rows.columns]
+    return features.transform(rows).select(*kept, "features").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit(train: DataFrame, config: TrainConfig = TrainConfig()) -> PipelineModel:
     """Fit features and classifier on a training table with ``text`` and ``label``."""
-    rows = prepare(train, config)
-    if config.balance_classes:
-        rows = with_class_weights(rows)
-    return Pipeline(stages=[*feature_stages(config), classifier(config)]).fit(rows)
+    rows = _training_rows(train, config)
+    features = Pipeline(stages=feature_stages(config)).fit(rows)
+    train_set = _stored_features(features, rows, "class_label")
+    try:
+        return PipelineModel(stages=[*features.stages, classifier(config).fit(train_set)])
+    finally:
+        train_set.unpersist()
 
 
 def predict(model: PipelineModel, df: DataFrame, config: TrainConfig = TrainConfig()) -> DataFrame:
@@ -116,21 +131,12 @@ def select_model(
     reg_params: Sequence[float] = DEFAULT_GRID,
 ) -> tuple[PipelineModel, list[dict]]:
     """Fit the grid in order, keep the best validation score, stop after
-    ``early_stopping_patience`` fits without gain.
-
-    Features are computed once and kept on executors' memory and disk for all fits;
-    lost parts are recomputed from the source.
+    ``early_stopping_patience`` fits without gain.  Features are computed once.
     """
-    train_rows = prepare(train, config)
-    if config.balance_classes:
-        train_rows = with_class_weights(train_rows)
+    train_rows = _training_rows(train, config)
     features = Pipeline(stages=feature_stages(config)).fit(train_rows)
-    keep = ["class_label", "features"] + (["weight"] if config.balance_classes else [])
-    train_set = features.transform(train_rows).select(*keep).persist(StorageLevel.MEMORY_AND_DISK)
-    check_set = (
-        features.transform(prepare(validation, config)).select("label", "features")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    train_set = _stored_features(features, train_rows, "class_label")
+    check_set = _stored_features(features, prepare(validation, config), "label")
     sign = 1 if config.greater_is_better else -1
     best, best_score, waited, history = None, None, 0, []
     try:
