@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .language import q_language
+from .quality import q_quality
 from .secrets import q_secrets
 from .sharding import q_sharding
 
 QUERIES = {
+    "op1_hyperdimensional_language": q_language,
     "op5_secret_ledger": q_secrets,
     "op9_virtual_slots": q_sharding,
+    "op10_weak_supervision": q_quality,
 }
 ORACLE: dict[str, str] = {}
