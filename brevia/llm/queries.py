@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import q_jaccard
 from .language import q_language
 from .quality import q_quality
 from .secrets import q_secrets
@@ -10,6 +11,7 @@ from .sharding import q_sharding
 QUERIES = {
     "op1_hyperdimensional_language": q_language,
     "op5_secret_ledger": q_secrets,
+    "op7_parity_sketch_join": q_jaccard,
     "op9_virtual_slots": q_sharding,
     "op10_weak_supervision": q_quality,
 }
