@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .jaccard import q_jaccard
 from .language import q_language
+from .passages import q_passages
 from .quality import q_quality
 from .secrets import q_secrets
 from .sharding import q_sharding
 
 QUERIES = {
     "op1_hyperdimensional_language": q_language,
+    "op3_phrase_automata": q_passages,
     "op5_secret_ledger": q_secrets,
     "op7_parity_sketch_join": q_jaccard,
     "op9_virtual_slots": q_sharding,
