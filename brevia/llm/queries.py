@@ -6,6 +6,7 @@ from .decontamination import q_decontamination
 from .jaccard import q_jaccard
 from .language import q_language
 from .mixing import q_mixing
+from .pages import q_pages
 from .passages import q_passages
 from .quality import q_quality
 from .secrets import q_secrets
@@ -14,6 +15,7 @@ from .toxicity import q_toxicity
 
 QUERIES = {
     "op1_hyperdimensional_language": q_language,
+    "op2_template_deduction": q_pages,
     "op3_phrase_automata": q_passages,
     "op4_classifier_chain": q_toxicity,
     "op5_secret_ledger": q_secrets,
