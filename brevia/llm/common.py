@@ -83,6 +83,14 @@ def crc32(column: Column) -> Column:
     return F.crc32(F.coalesce(column, F.lit("")).cast("binary"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores, so that ``df`` has no such column."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def as_columns(names: Iterable[str]) -> list[Column]:
     """Columns by their whole names, which may hold dots."""
     return [F.col(f"`{name}`") for name in names]

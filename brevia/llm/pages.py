@@ -92,6 +92,7 @@ def blocks_of(html: str | None) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool, bool]] = []
     links = at = 0
+    begun = False  # whether an article has been met
 
     def text(begin: int, end: int) -> None:
         if end > begin:
@@ -150,9 +151,11 @@ def blocks_of(html: str | None) -> list[Block]:
             label = parent.path
         else:
             label = f"{parent.path}/{tag}" + "!" * beside + "*" * root
-        # An article that starts inside something beside it was left open there by mistake.
-        stack.append(Element(tag, label, (parent.out and not (root and tag in ROOTS)) or beside,
-                             parent.root or root))
+        # If a page's first article starts inside something beside it, that was left open.
+        astray = parent.out and root and tag in ROOTS and not begun
+        out_here = beside or parent.out and not astray
+        begun = begun or root and not out_here
+        stack.append(Element(tag, label, out_here, parent.root or root))
     text(at, len(html))
     flush()
     return out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brevia.llm import decontamination, jaccard, language, mixing, sharding
-from brevia.llm.common import as_columns, stored, table
+from brevia.llm.common import as_columns, stored, table, unused
 
 # Texts that are nearer to no language than this are not of a known language.
 LEAST_SCORE = 0.05
@@ -26,8 +26,9 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that the corpus is labelled with."""
     learnt = language.profiles(docs.filter(~language.held_out(F.col("doc_id"))))
-    found = language.predict(docs, learnt, pred="pipeline_lang", score="pipeline_score")
-    known = (F.col("pipeline_lang") != language.UNKNOWN) & (F.col("pipeline_score") >= LEAST_SCORE)
+    pred, score = unused(docs, "lang_pred"), unused(docs, "score")
+    found = language.predict(docs, learnt, pred=pred, score=score)
+    known = (F.col(pred) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)
     return found.filter(known).select(*as_columns(docs.columns))
 
 
@@ -39,9 +40,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = jaccard.jaccard_components(docs, jaccard.Likeness(5, 4, 5))
     gone = found.filter("component_id < id").select(F.col("id").alias("doc_id")).distinct()
+    first = unused(docs, "first")
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
     kept = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn(
-        "pipeline_place", place).filter("pipeline_place = 1")
+        first, place).filter(F.col(first) == 1)
     columns = as_columns(docs.columns)
     return kept.select(*columns).unionByName(docs.filter("doc_id IS NULL").select(*columns))
 
