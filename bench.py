@@ -34,7 +34,7 @@ HEADLINE = [
     "clean_text", "clean_passthrough", "handle_emojis", "remove_urls", "text_lengths",
     "noise_flags", "class_balance", "length_stats", "length_histogram", "noise_profile",
     "sample_per_class", "token_quantiles", "vocabulary", "encode_tokens", "eval_metrics",
-    "confusion_matrix", "classification_report", "parity_check", "synthetic_tweets",
+    "confusion_matrix", "classification_report", "parity_check",
     "train_predict",
 ]
 SIZES = [1_000, 10_000, 100_000, 1_000_000]
@@ -95,7 +95,8 @@ def cleaning_times(spark, folder: str) -> tuple[dict[str, float], dict[str, int]
         write_parquet(posts, stored)
         target = f"{folder}/clean_{n}.parquet"
         jobs = {
-            f"clean_csv_{n}": lambda: clean_file(spark, source, target, mode="overwrite"),
+            f"clean_csv_{n}": lambda: clean_file(
+                spark, source, target, mode="overwrite", schema="text STRING", multi_line=False),
             f"clean_only_{n}": lambda: drop_rows(clean_posts(read_posts(spark, stored))),
         }
         for name, job in jobs.items():

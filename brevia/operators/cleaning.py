@@ -6,13 +6,14 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.clean import (
     handle_emojis, normalize_hashtags, remove_mentions, replace_urls, strip, to_lowercase,
 )
 from ..functions.emoji_names import EmojiNames, default_names
 from ..functions.patterns import CLEAN_SUFFIX
-from ..sources.readers import read_posts, require_text_column, spread
+from ..sources.readers import read_posts, require_text_column
 from ..sources.writers import write_parquet
 
 
@@ -50,8 +51,13 @@ def clean_posts(
 
 def clean_file(
     spark: SparkSession, source: str, target: str, text_col: str = "text",
-    mode: str = "errorifexists",
+    mode: str = "errorifexists", schema: T.StructType | str | None = None, multi_line: bool = True,
 ) -> None:
-    """Read CSV or Parquet, clean one column, write Parquet."""
-    posts = require_text_column(read_posts(spark, source), text_col)
-    write_parquet(clean_posts(spread(posts), text_col), target, mode=mode)
+    """Read CSV or Parquet, clean one column, write Parquet.
+
+    All columns stay as they are, in the order of the rows.  Without a ``schema`` the
+    types of a CSV file are found by a first scan.
+    """
+    posts = read_posts(spark, source, schema=schema, multi_line=multi_line,
+                       infer_schema=schema is None)
+    write_parquet(clean_posts(require_text_column(posts, text_col), text_col), target, mode=mode)

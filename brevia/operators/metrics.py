@@ -72,7 +72,11 @@ def confusion_matrix(
     df: DataFrame, label_col: str = "label", pred_col: str = "pred",
     classes: int = len(LABEL_NAMES),
 ) -> DataFrame:
-    """Rows are true classes, columns predicted ones; classes without rows are listed too."""
+    """Rows are true classes, columns predicted ones; classes without rows are listed too.
+
+    A label or prediction that is none of the ``classes`` stops the job, as it would
+    have no place in the table.
+    """
     ids = range(classes)
     own = F.array(F.struct(F.col("label"), F.col("pred"), F.col("n")))
     spark = df.sparkSession
@@ -80,7 +84,13 @@ def confusion_matrix(
         F.col("id").cast("int").alias("label"), F.lit(0).alias("pred"),
         F.lit(0).cast("long").alias("n"),
     )
-    counts = confusion_counts(df, label_col, pred_col).select(F.inline(own)).unionByName(empty)
+    counts = confusion_counts(df, label_col, pred_col)
+    for column in ("label", "pred"):
+        wrong = F.raise_error(F.concat(F.lit(f"{column} is none of {classes} classes: "),
+                                       F.coalesce(F.col(column).cast("string"), F.lit("null"))))
+        known = F.coalesce(F.col(column).between(0, classes - 1), F.lit(False))
+        counts = counts.withColumn(column, F.when(known, F.col(column)).otherwise(wrong))
+    counts = counts.select(F.inline(own)).unionByName(empty)
     return counts.groupBy("label").agg(*(
         F.sum(F.when(F.col("pred") == k, F.col("n")).otherwise(0)).alias(f"pred_{k}") for k in ids
     ))

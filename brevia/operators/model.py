@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,14 @@ class TrainConfig:
     early_stopping_patience: int = 2
 
 
+@dataclass(frozen=True)
+class TextModel:
+    """A fitted pipeline with the settings that its input has to be prepared by."""
+
+    pipeline: PipelineModel
+    config: TrainConfig
+
+
 DEFAULT_GRID = (0.1, 0.01, 0.001)
 
 
@@ -88,20 +97,22 @@ def _stored_features(features: PipelineModel, rows: DataFrame, *columns: str) ->
     return features.transform(rows).select(*kept, "features").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit(train: DataFrame, config: TrainConfig = TrainConfig()) -> PipelineModel:
+def fit(train: DataFrame, config: TrainConfig = TrainConfig()) -> TextModel:
     """Fit features and classifier on a training table with ``text`` and ``label``."""
     rows = _training_rows(train, config)
     features = Pipeline(stages=feature_stages(config)).fit(rows)
     train_set = _stored_features(features, rows, "class_label")
     try:
-        return PipelineModel(stages=[*features.stages, classifier(config).fit(train_set)])
+        model = classifier(config).fit(train_set)
+        return TextModel(PipelineModel(stages=[*features.stages, model]), config)
     finally:
         train_set.unpersist()
 
 
-def predict(model: PipelineModel, df: DataFrame, config: TrainConfig = TrainConfig()) -> DataFrame:
+def predict(model: TextModel, df: DataFrame) -> DataFrame:
     """Class probabilities as ``scores`` and the best class as ``pred``, row by row."""
-    scored = model.transform(prepare(df, config))
+    labelled = df if "label" in df.columns else df.withColumn("label", F.lit(None).cast("int"))
+    scored = model.pipeline.transform(prepare(labelled, model.config))
     scores = vector_to_array("probability")
     return scored.select(*df.columns, scores.alias("scores")).withColumn(
         "pred", argmax(F.col("scores"))
@@ -129,7 +140,7 @@ def predict_external(
 def select_model(
     train: DataFrame, validation: DataFrame, config: TrainConfig = TrainConfig(),
     reg_params: Sequence[float] = DEFAULT_GRID,
-) -> tuple[PipelineModel, list[dict]]:
+) -> tuple[TextModel, list[dict]]:
     """Fit the grid in order, keep the best validation score, stop after
     ``early_stopping_patience`` fits without gain.  Features are computed once.
     """
@@ -146,6 +157,8 @@ def select_model(
                 "pred", argmax(vector_to_array("probability"))
             )
             result = evaluate(scored).first().asDict()
+            if result[config.metric_for_best_model] is None:
+                raise ValueError("no rows to select the model by: the validation split is empty")
             score = sign * result[config.metric_for_best_model]
             improved = best_score is None or score > best_score
             history.append({"reg_param": reg_param, **result, "improved": improved})
@@ -158,7 +171,9 @@ def select_model(
     finally:
         train_set.unpersist()
         check_set.unpersist()
-    return PipelineModel(stages=[*features.stages, best]), history
+    chosen = next(h for h in reversed(history) if h["improved"])
+    kept = replace(config, reg_param=chosen["reg_param"])
+    return TextModel(PipelineModel(stages=[*features.stages, best]), kept), history
 
 
 def train(
@@ -167,14 +182,20 @@ def train(
 ) -> dict[str, float]:
     """Select on the validation split of a table with splits, save, return its metrics."""
     parts = {name: posts.filter(F.col("split") == name) for name in ("train", "validation")}
-    model, _ = select_model(parts["train"], parts["validation"], config, list(reg_params))
+    model, history = select_model(parts["train"], parts["validation"], config, list(reg_params))
     save(model, output_dir)
-    return evaluate(predict(model, parts["validation"], config)).first().asDict()
+    best = next(h for h in reversed(history) if h["improved"])
+    return {name: best[name] for name in ("accuracy", "f1_macro")}
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: TextModel, path: str) -> None:
+    """The pipeline and, beside it, its settings."""
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    spark = SparkSession.active()
+    spark.createDataFrame([(json.dumps(asdict(model.config)),)], "config STRING").write.mode(
+        "overwrite").parquet(f"{path}/config")
 
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load(path: str) -> TextModel:
+    stored = SparkSession.active().read.parquet(f"{path}/config").first()["config"]
+    return TextModel(PipelineModel.load(f"{path}/pipeline"), TrainConfig(**json.loads(stored)))

@@ -10,41 +10,46 @@ from ..functions.text import mismatch_preview
 _DIFFERS = "n_left <> n_right"
 
 
-def value_balance(left: DataFrame, right: DataFrame, value_col: str, id_col: str = "id") -> DataFrame:
+def value_balance(
+    left: DataFrame, right: DataFrame, value_col: str, id_col: str = "id", shown: bool = False
+) -> DataFrame:
     """How many rows each side has of every (key, value).
 
     Both sides are stacked and counted instead of joined: one shuffle, hash
     aggregation with a partial count, and a key repeated on both sides cannot
-    multiply.  A SHA-256 digest and the beginning stand for the value, so whole
-    texts are not shuffled.  Null values count as a value.
+    multiply.  A SHA-256 digest stands for the value, with its beginning if it is to be
+    shown, so whole texts are not shuffled.  A null value or key counts as one.
     """
+    by = ["id", "digest", *["shown"] * shown]
+
     def side(df: DataFrame, n_left: int, n_right: int) -> DataFrame:
         value = F.col(value_col)
         return df.select(
-            F.col(id_col).alias("id"), F.sha2(value, 256).alias("digest"),
-            mismatch_preview(value).alias("shown"), F.lit(n_left).alias("l"),
-            F.lit(n_right).alias("r"),
+            F.col(id_col).alias("id"), F.unhex(F.sha2(value, 256)).alias("digest"),
+            *[mismatch_preview(value).alias("shown")] * shown,
+            F.lit(n_left).alias("l"), F.lit(n_right).alias("r"),
         )
 
     return (
-        side(left, 1, 0).unionByName(side(right, 0, 1))
-        .groupBy("id", "digest", "shown")
+        side(left, 1, 0).unionByName(side(right, 0, 1)).groupBy(*by)
         .agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
     )
 
 
 def parity_check(left: DataFrame, right: DataFrame, value_col: str, id_col: str = "id") -> DataFrame:
     """(n_left, n_right, all_match, mismatch_count); with unequal row counts the
-    mismatches are the difference of the counts, else the keys that differ."""
+    mismatches are the difference of the counts, else the keys that differ, of which
+    null is one."""
     def total(column: str):
         return F.coalesce(F.sum(column), F.lit(0)).alias(column)
 
-    totals = value_balance(left, right, value_col, id_col).agg(
-        total("n_left"), total("n_right"),
-        F.count_distinct(F.when(F.expr(_DIFFERS), F.col("id"))).alias("differing"),
+    keys = value_balance(left, right, value_col, id_col).groupBy("id").agg(
+        F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"),
+        F.max(F.expr(_DIFFERS).cast("int")).alias("differs"),
     )
+    totals = keys.agg(total("n_left"), total("n_right"), total("differs"))
     gap = F.abs(F.col("n_left") - F.col("n_right"))
-    mismatches = F.when(gap > 0, gap).otherwise(F.col("differing"))
+    mismatches = F.when(gap > 0, gap).otherwise(F.col("differs"))
     return totals.select(
         "n_left", "n_right", (mismatches == 0).alias("all_match"),
         mismatches.alias("mismatch_count"),
@@ -54,16 +59,25 @@ def parity_check(left: DataFrame, right: DataFrame, value_col: str, id_col: str
 def parity_mismatches(
     left: DataFrame, right: DataFrame, value_col: str, n: int = 3, id_col: str = "id"
 ) -> DataFrame:
-    """The first ``n`` differing keys with the beginning of both values."""
-    def shown(more: str, less: str):
+    """The first ``n`` differing keys, null first, with the beginning of both values.
+
+    The keys are found by digests; only their rows are read again to be shown.
+    """
+    found = value_balance(left, right, value_col, id_col).filter(_DIFFERS).select(
+        "id").distinct().orderBy("id").limit(n).withColumnRenamed("id", "__key")
+
+    def rows(df: DataFrame) -> DataFrame:
+        same = F.col(id_col).eqNullSafe(F.col("__key"))
+        return df.join(F.broadcast(found), same, "left_semi")  # n rows
+
+    def text(more: str, less: str):
         return F.min(F.when(F.col(more) > F.col(less), F.col("shown")))
 
     return (
-        value_balance(left, right, value_col, id_col)
+        value_balance(rows(left), rows(right), value_col, id_col, shown=True)
         .filter(_DIFFERS)
         .groupBy("id")
-        .agg(shown("n_left", "n_right").alias("left_text"),
-             shown("n_right", "n_left").alias("right_text"))
+        .agg(text("n_left", "n_right").alias("left_text"),
+             text("n_right", "n_left").alias("right_text"))
         .orderBy("id")
-        .limit(n)
     )

@@ -17,7 +17,6 @@ from ..functions.text import label_name, n_chars, n_tokens, n_words, noise_flag
 
 # Spark keeps a per-task top-k ahead of the shuffle for rank filters up to this size.
 GROUP_LIMIT = 1000
-SAMPLE_SALTS = 64
 
 
 def with_label_name(df: DataFrame) -> DataFrame:
@@ -43,8 +42,9 @@ def class_balance(df: DataFrame) -> DataFrame:
 
 
 def by_count(balance: DataFrame) -> DataFrame:
-    """The classes of each split from the rarest to the most frequent, for display."""
-    return balance.orderBy("split", "n_rows")
+    """The classes of each split from the rarest to the most frequent, with their place."""
+    place = F.row_number().over(Window.partitionBy("split").orderBy("n_rows", "label_name"))
+    return balance.withColumn("place", place).orderBy("split", "place")
 
 
 def value_counts(df: DataFrame, measures: dict[str, Column], *by: str) -> DataFrame:
@@ -196,32 +196,58 @@ def noise_profile(df: DataFrame, text_col: str = "text", split: str = "train") -
     )
 
 
-def sample_per_class(df: DataFrame, n: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """``n`` rows of each class in a seeded random order, all rows if a class has fewer.
+def _small_keys(rows: DataFrame, n: int) -> DataFrame:
+    """The rows of each class whose key is below a bound that about n rows of it meet.
 
-    The rows are chosen on (id, label) alone, so texts are neither sorted nor
-    shuffled, and then fetched by their ids, which must be unique.  Up to
-    ``GROUP_LIMIT`` rows Spark cuts each task's input to its own first n before the
-    shuffle, so a large class sends n rows per task, and the chosen ids are few
-    enough to broadcast.  For larger samples the first n are taken within salted
-    parts of the class, then among those, and the join is left to the optimizer.
+    The bound follows from the class's count, so that about n rows of a class are
+    ranked, however many it has; it is raised until at least n are below it.
+    """
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    slack = 1.2
+    while True:
+        bounds = {k: min(1.0, (slack * n + 100) / size) for k, size in sizes.items()}
+        below = F.lit(False)
+        for label, share in bounds.items():
+            bound = "g" if share == 1.0 else f"{int(share * (1 << 48)):012x}"
+            below = below | (F.col("label") == label) & (F.col("key") < bound)
+        kept = rows.filter(below)
+        got = {r["label"]: r["count"] for r in kept.groupBy("label").count().collect()}
+        if all(got.get(k, 0) >= min(n, size) for k, size in sizes.items()):
+            return kept
+        slack *= 2
+
+
+def choose_per_class(labelled: DataFrame, n: int = 5, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """(id, label, sample_rank) of ``n`` rows of each class in a seeded random order, all
+    rows if a class has fewer; reads no text.
+
+    Up to ``GROUP_LIMIT`` rows Spark cuts each task's input to its own first n before the
+    shuffle.  For larger samples only rows with a small enough key are ranked.
     """
     key = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
     known = F.col("label").isin(*range(len(LABEL_NAMES)))
-    ranked = df.filter(known).select(id_col, "label", key.alias("key"))
-    order = [F.col("key"), F.col(id_col)]
+    rows = labelled.filter(known).select(id_col, "label", key.alias("key"))
     if n > GROUP_LIMIT:
-        part = Window.partitionBy("label", F.pmod(F.xxhash64(id_col), F.lit(SAMPLE_SALTS)))
-        ranked = ranked.withColumn("part_rank", F.row_number().over(part.orderBy(*order)))
-        ranked = ranked.filter(F.col("part_rank") <= n)
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(*order))
-    chosen = (
-        ranked.withColumn("sample_rank", rank).filter(F.col("sample_rank") <= n)
-        .select(id_col, "sample_rank")
-    )
+        rows = _small_keys(rows, n)
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("key", id_col))
+    chosen = rows.withColumn("sample_rank", rank).filter(F.col("sample_rank") <= n)
+    return chosen.select(id_col, "label", "sample_rank")
+
+
+def sample_per_class(df: DataFrame, n: int = 5, seed: int = 42, id_col: str = "id",
+                     labelled: DataFrame | None = None) -> DataFrame:
+    """The rows of :func:`choose_per_class`, fetched by their ids, which must be unique.
+
+    ``labelled`` has id and label if ``df`` does not, so that labels need not be joined
+    to all texts first.  The ids of a small sample are broadcast; the join of a large
+    one is left to the optimizer.
+    """
+    chosen = choose_per_class(df if labelled is None else labelled, n, seed, id_col)
+    if labelled is None:
+        chosen = chosen.drop("label")
     if n <= GROUP_LIMIT:
         chosen = F.broadcast(chosen)
-    return with_label_name(df.filter(known).join(chosen, id_col))
+    return with_label_name(df.join(chosen, id_col))
 
 
 def head_rows(df: DataFrame, n: int = 5, id_col: str = "id") -> DataFrame:

@@ -16,13 +16,9 @@ SPECIAL_TOKENS = ("<s>", "<pad>", "</s>", "<unk>")
 BOS, PAD, EOS, UNK = range(len(SPECIAL_TOKENS))
 MAX_LENGTH = 128
 
-DEFAULT_SIZE = 50_000
-# The vocabulary has at most this many rows and bytes when it is sent to every executor.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 << 20
-# Copies of each vocabulary row when it is joined instead, so that a frequent token
-# is spread over as many tasks.
-JOIN_SALTS = 32
+# The vocabulary has at most this many rows and bytes, as every executor holds it.
+MOST_TOKENS = 1_000_000
+MOST_BYTES = 64 << 20
 
 
 def token_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -35,7 +31,7 @@ def token_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def build_vocabulary(df: DataFrame, size: int = DEFAULT_SIZE, text_col: str = "text") -> DataFrame:
+def build_vocabulary(df: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """The ``size`` most frequent tokens with ids after the reserved ones.
 
     Ties are broken by the token.  The number of tokens of each frequency gives the
@@ -78,70 +74,46 @@ def _mask(n_ids: Column, max_length: int) -> Column:
 
 
 def _lookup(listed: list[str], spark):
-    """Token ids of token lists; one hash lookup per Arrow batch."""
+    """Token ids of token lists; the hash table is built once for each task."""
     shared = spark.sparkContext.broadcast(listed)
 
     @F.arrow_udf("array<int>")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = pa.array(shared.value, pa.string())
+        known = dict(zip(shared.value, range(len(SPECIAL_TOKENS), len(shared.value) + len(SPECIAL_TOKENS))))
         for batch in batches:
             # Lists of null rows are empty, so offsets and values stay aligned.
-            found = pc.index_in(batch.flatten().cast(pa.string()), value_set=known)
-            numbers = pc.fill_null(pc.add(found, len(SPECIAL_TOKENS)), UNK).cast(pa.int32())
+            numbers = [known.get(token, UNK) for token in batch.flatten().to_pylist()]
             lengths = pc.fill_null(pc.list_value_length(batch), 0)
             ends = pc.cumulative_sum(lengths.cast(pa.int32()))
             offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-            yield pa.ListArray.from_arrays(offsets, numbers)
+            yield pa.ListArray.from_arrays(offsets, pa.array(numbers, pa.int32()))
 
     return ids
 
 
 def encode(
     df: DataFrame, vocabulary: DataFrame, max_length: int = MAX_LENGTH, text_col: str = "text",
-    id_col: str = "id", broadcast_rows: int = BROADCAST_ROWS,
-    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Replace the text by ``input_ids`` and ``attention_mask`` of length ``max_length``.
 
-    Rows are cut to ``max_length`` including the two frame tokens, and padded.  A
-    vocabulary within ``broadcast_rows`` and ``broadcast_bytes``, which are measured
-    first, goes to the executors and the encoding is a narrow step.  A larger one is
-    joined; then ``id_col`` must be unique.  The vocabulary is read more than once, so
-    pass a stored one.
+    Rows are cut to ``max_length`` including the two frame tokens, and padded.  Each row
+    is encoded on its own in one narrow step, whatever the vocabulary's size; a
+    vocabulary beyond ``MOST_TOKENS`` or ``MOST_BYTES``, which are measured first, is
+    refused, as executors could not hold it.  It is read more than once, so pass a
+    stored one.
     """
-    cut = F.slice(tokens(F.col(text_col)), 1, max_length - 2)
     n_tokens, n_bytes = vocabulary.agg(
         F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))
     ).first()
-    if n_tokens <= broadcast_rows and n_bytes <= broadcast_bytes:
-        listed = vocabulary.select("token_id", "token").collect()
-        ordered = [token for _, token in sorted(listed)]
-        if sorted(i for i, _ in listed) != [len(SPECIAL_TOKENS) + k for k in range(len(listed))]:
-            raise ValueError("token ids must follow the reserved ones without gaps")
-        lookup = _lookup(ordered, df.sparkSession)
-        with_ids = df.withColumn("__ids", lookup(cut))
-    else:
-        with_ids = _joined_ids(df, vocabulary, cut, id_col)
-    return with_ids.withColumns({
+    if n_tokens > MOST_TOKENS or n_bytes > MOST_BYTES:
+        raise ValueError(f"vocabulary of {n_tokens} tokens, {n_bytes} bytes; at most"
+                         f" {MOST_TOKENS} and {MOST_BYTES} can be sent to executors")
+    listed = sorted(map(tuple, vocabulary.select("token_id", "token").collect()))
+    if [i for i, _ in listed] != [len(SPECIAL_TOKENS) + k for k in range(len(listed))]:
+        raise ValueError("token ids must follow the reserved ones without gaps")
+    cut = F.slice(tokens(F.col(text_col)), 1, max_length - 2)
+    ids = _lookup([token for _, token in listed], df.sparkSession)
+    return df.withColumn("__ids", ids(cut)).withColumns({
         "input_ids": _framed(F.col("__ids"), max_length),
         "attention_mask": _mask(F.size("__ids"), max_length),
     }).drop(text_col, "__ids")
-
-
-def _joined_ids(df: DataFrame, vocabulary: DataFrame, cut: Column, id_col: str) -> DataFrame:
-    """Token ids by a salted join; at most ``max_length`` rows per post come together again."""
-    salt = F.pmod(F.xxhash64(F.col(id_col), F.col("pos")), F.lit(JOIN_SALTS))
-    words = df.select(id_col, F.posexplode(cut).alias("pos", "token")).withColumn("salt", salt)
-    copies = vocabulary.select(
-        "token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt")
-    ).withColumn("salt", F.col("salt").cast("long"))
-    found = words.join(copies, ["token", "salt"], "left").select(
-        id_col, "pos", F.coalesce("token_id", F.lit(UNK)).alias("token_id")
-    )
-    lists = found.groupBy(id_col).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "token_id"))), lambda s: s["token_id"]
-        ).alias("__ids")
-    )
-    empty = F.array().cast("array<int>")
-    return df.join(lists, id_col, "left").withColumn("__ids", F.coalesce("__ids", empty))

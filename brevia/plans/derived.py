@@ -9,6 +9,7 @@ in DuckDB, so queries and checks share them word by word.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.readers import spread
 
@@ -66,6 +67,8 @@ SPLIT = (
 LABEL = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END"
 # Text of the documents marked as good, null for the others.
 GOOD_TEXT = "CASE WHEN quality = 1 THEN text END"
+# Ids of which some are missing, for the comparisons by key.
+SOME_IDS = f"CASE WHEN {digit(8).replace('doc_id', 'id')} = '0' THEN NULL ELSE id END"
 
 
 def _letters(letter: str) -> str:
@@ -108,6 +111,12 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr("id", f"{LABEL} AS label", "split", "text")
 
 
+def with_label(spark: SparkSession, sf_dir: str, table: DataFrame) -> DataFrame:
+    """``table`` (id, ...) with the class of each post."""
+    joined = table.join(labels(spark, sf_dir), "id", "left")
+    return joined.select(*table.columns, F.expr(f"{LABEL} AS label"))
+
+
 def post_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, label, split) read without the texts."""
     ids = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(*POST_COLUMNS[:2])

@@ -6,12 +6,12 @@ from ..functions.patterns import (
     HASHTAG, LABEL_NAMES, MENTION, NOISE, SPACE_CLASS, TOKEN, URL, URL_TOKEN, USER_TOKEN,
     VISIBLE_RUN, WHITESPACE, WORD,
 )
-from ..operators.tokens import BOS, DEFAULT_SIZE, EOS, MAX_LENGTH, PAD, SPECIAL_TOKENS, UNK
-from ..sources import synthetic as syn
+from ..operators.tokens import BOS, EOS, MAX_LENGTH, PAD, SPECIAL_TOKENS, UNK
 from .derived import (
     CTE_POSTS, CTE_TEXTS, EMOJI_TEXT, GOOD_TEXT, OTHER_EMOJI_NAMES, POST_EMOJI_NAMES, SCORES,
+    SOME_IDS,
 )
-from .queries import DIGITS
+from .queries import DIGITS, VOCABULARY_SIZE
 
 TEXTS = f"WITH {CTE_TEXTS}"
 POSTS = f"WITH {CTE_TEXTS}, {CTE_POSTS}"
@@ -158,7 +158,7 @@ VOCABULARY = (
     " ranked AS (SELECT token, count(*) AS n,"
     " row_number() OVER (ORDER BY count(*) DESC, token) AS place FROM words GROUP BY token),"
     f" vocabulary AS (SELECT token, n, CAST(place + {len(SPECIAL_TOKENS) - 1} AS INTEGER) AS token_id"
-    f" FROM ranked WHERE place <= {DEFAULT_SIZE})"
+    f" FROM ranked WHERE place <= {VOCABULARY_SIZE})"
 )
 
 
@@ -178,41 +178,30 @@ def encoded(max_length: int) -> str:
     )
 
 
-def synthetic_posts() -> str:
-    def draw(k: int) -> str:
-        at = 1 + k * syn.DRAW_DIGITS
-        return f"CAST('0x' || substring(digest, {at}, {syn.DRAW_DIGITS}) AS BIGINT)"
-
-    def pick(k: int, pool: list[str]) -> str:
-        listed = ", ".join("'" + item.replace("'", "''") + "'" for item in pool)
-        return f"list_extract([{listed}], {draw(k)} % {len(pool)} + 1)"
-
-    def maybe(k: int, odds: float, part: str) -> str:
-        return f"CASE WHEN {draw(k)} < {round(odds * syn.DRAW_RANGE)} THEN {part} ELSE '' END"
-
-    parts = [
-        maybe(7, syn.USER_ODDS, f"'@' || {pick(8, syn.USERS)} || ' '"),
-        pick(0, syn.BASE_TEXTS),
-        maybe(1, syn.EMOJI_ODDS, f"' ' || {pick(2, syn.EMOJIS)}"),
-        maybe(3, syn.HASHTAG_ODDS, f"' ' || {pick(4, syn.HASHTAGS)}"),
-        maybe(5, syn.URL_ODDS, f"' ' || {pick(6, syn.URLS)}"),
-    ]
+def sample(n: int) -> str:
     return (
-        "WITH drawn AS (SELECT doc_id AS id,"
-        f" sha256(concat(CAST(doc_id AS VARCHAR), ':{syn.SEED}')) AS digest FROM documents)"
-        f" SELECT id, {' || '.join(parts)} AS text FROM drawn"
+        f"{POSTS}, ranked AS (SELECT id, label, text, CAST(row_number() OVER (PARTITION BY label"
+        " ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id) AS INTEGER) AS sample_rank"
+        " FROM posts WHERE split = 'train')"
+        f" SELECT id, {label_name()} AS label_name, sample_rank, CASE WHEN length(text) > 150"
+        f" THEN substring(text, 1, 150) || '...' ELSE text END AS text FROM ranked WHERE sample_rank <= {n}"
     )
 
 
 OUTPUTS = (
-    f"{TEXTS}, outputs AS (SELECT id, {cleaned('text')} AS l, lower({markup('text')}) AS r FROM texts)"
+    f"{TEXTS}, outputs AS (SELECT {SOME_IDS} AS id, {cleaned('text')} AS l,"
+    f" lower({markup('text')}) AS r FROM texts), balance AS (SELECT id, v, sum(a) AS n_left,"
+    " sum(b) AS n_right FROM (SELECT id, l AS v, 1 AS a, 0 AS b FROM outputs UNION ALL"
+    " SELECT id, r, 0, 1 FROM outputs) GROUP BY id, v), keys AS (SELECT id,"
+    " min(CASE WHEN n_left > n_right THEN substring(v, 1, 80) || '...' END) AS left_text,"
+    " min(CASE WHEN n_right > n_left THEN substring(v, 1, 80) || '...' END) AS right_text"
+    " FROM balance WHERE n_left <> n_right GROUP BY id)"
 )
 
 ORACLE: dict[str, str] = {
     "load_splits": f"{POSTS} SELECT id, label, split, text FROM posts",
     "csv_round_trip": f"{POSTS} SELECT id, label, text, {label_name()} AS label_name FROM posts",
     "union_splits": f"{POSTS} SELECT id, label, text, split FROM posts",
-    "synthetic_tweets": synthetic_posts(),
     "split_filter": f"{POSTS} SELECT id, label, split, text FROM posts WHERE split = 'train'",
     "label_names": f"{POSTS} SELECT id, label, split, {label_name()} AS label_name FROM posts",
     "clean_text": on_text(cleaned("text"), "text_cleaned"),
@@ -224,6 +213,13 @@ ORACLE: dict[str, str] = {
         " FROM documents LEFT JOIN labels USING (doc_id))"
         f" SELECT id, lower({markup('body')}) AS body_cleaned FROM good"
     ),
+    "clean_csv": (
+        "WITH rows AS (SELECT doc_id, CASE WHEN quality = 0 THEN ''"
+        f" ELSE {GOOD_TEXT} END AS body, lang, n_chars, quality FROM documents LEFT JOIN labels"
+        " USING (doc_id)), known AS (SELECT *, coalesce(body, '') AS given FROM rows)"
+        " SELECT CAST(doc_id AS INTEGER) AS doc_id, body, lang, CAST(n_chars AS INTEGER) AS n_chars, quality,"
+        f" lower({markup('given')}) AS body_cleaned FROM known"
+    ),
     "clean_stream": on_text(cleaned("text"), "text_cleaned"),
     "remove_urls": on_text(urls("text")),
     "remove_mentions": on_text(replaced("text", MENTION, USER_TOKEN)),
@@ -249,12 +245,21 @@ ORACLE: dict[str, str] = {
     "token_counts": on_text(count_of("text", TOKEN, "INTEGER"), "n_tokens"),
     "vocabulary": f"{TEXTS}, {VOCABULARY} SELECT token, n, token_id FROM vocabulary",
     "encode_tokens": encoded(MAX_LENGTH),
-    "encode_tokens_joined": encoded(64),
+    "token_frequencies": (
+        f"{TEXTS}, words AS (SELECT unnest(regexp_extract_all(text, '{TOKEN}')) AS token"
+        " FROM texts WHERE split = 'train') SELECT token, count(*) AS n FROM words GROUP BY token"
+    ),
     "split_counts": f"{POSTS} SELECT split, count(*) AS n_rows FROM posts GROUP BY split",
     "class_balance": (
         f"{POSTS} SELECT split, {label_name()} AS label_name, count(*) AS n_rows,"
         " count(*) / sum(count(*)) OVER (PARTITION BY split) * 100 AS pct FROM posts GROUP BY split, label"
     ),
+    "classes_by_count": (
+        f"{POSTS}, balance AS (SELECT split, {label_name()} AS label_name, count(*) AS n_rows,"
+        " count(*) / sum(count(*)) OVER (PARTITION BY split) * 100 AS pct FROM posts GROUP BY split, label)"
+        " SELECT *, CAST(row_number() OVER (PARTITION BY split ORDER BY n_rows, label_name) AS INTEGER)"
+        " AS place FROM balance"
+    ),
     "length_stats": (
         f"{TEXTS}, l AS (SELECT split, length(text) AS c, {WORD_COUNT} AS w FROM texts)"
         " SELECT split, round_even(avg(c), 1) AS chars_mean, round_even(median(c), 1) AS chars_median,"
@@ -272,13 +277,8 @@ ORACLE: dict[str, str] = {
         + histogram("lengths", "", AUTO_BINS)
     ),
     "noise_profile": noise_profile(),
-    "sample_per_class": (
-        f"{POSTS}, ranked AS (SELECT id, label, text, CAST(row_number() OVER (PARTITION BY label"
-        " ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id) AS INTEGER) AS sample_rank"
-        " FROM posts WHERE split = 'train')"
-        f" SELECT id, {label_name()} AS label_name, sample_rank, CASE WHEN length(text) > 150"
-        " THEN substring(text, 1, 150) || '...' ELSE text END AS text FROM ranked WHERE sample_rank <= 5"
-    ),
+    "sample_per_class": sample(5),
+    "sample_2000_per_class": sample(2000),
     "head_rows": f"{POSTS} SELECT id, label, split, text FROM posts ORDER BY id LIMIT 5",
     "eval_subset": f"{SCORED} SELECT id, label, pred FROM {FIRST_TEST}",
     "argmax_pred": f"{SCORED} SELECT id, label, pred FROM predicted",
@@ -296,10 +296,10 @@ ORACLE: dict[str, str] = {
     "baseline_report": report(FIRST_TEST),
     "parity_check": (
         f"{OUTPUTS} SELECT CAST(count(*) AS BIGINT) AS n_left, CAST(count(*) AS BIGINT) AS n_right,"
-        " count(*) FILTER (l <> r) = 0 AS all_match, count(*) FILTER (l <> r) AS mismatch_count FROM outputs"
+        " (SELECT count(*) FROM keys) = 0 AS all_match,"
+        " (SELECT count(*) FROM keys) AS mismatch_count FROM outputs"
     ),
     "parity_mismatches": (
-        f"{OUTPUTS} SELECT id, substring(l, 1, 80) || '...' AS left_text,"
-        " substring(r, 1, 80) || '...' AS right_text FROM outputs WHERE l <> r ORDER BY id LIMIT 3"
+        f"{OUTPUTS} SELECT id, left_text, right_text FROM keys ORDER BY id NULLS FIRST LIMIT 3"
     ),
 }

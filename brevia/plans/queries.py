@@ -12,18 +12,18 @@ from ..functions.patterns import NOISE
 from ..operators import metrics, model, parity, profile, tokens
 from ..operators.cleaning import clean_file, clean_posts
 from ..operators.mapping import map_batches
-from ..sources import synthetic
 from ..sources.readers import load_splits, read_posts, union_splits
 from ..sources.writers import scratch_path, write_csv, write_parquet
 from ..streaming.cleaning import clean_stream
 from .derived import (
-    EMOJI_TEXT, GOOD_TEXT, SPLITS, documents, labels, post_labels, post_texts, posts, with_scores,
+    EMOJI_TEXT, GOOD_TEXT, SOME_IDS, SPLITS, documents, labels, post_labels, post_texts, posts,
+    with_label, with_scores,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 # Quotients are compared after rounding, as engines may add in another order.
 DIGITS = 10
-TRAIN_CONFIG = model.TrainConfig(max_iter=15)
+VOCABULARY_SIZE = 50_000
 
 
 def _on_text(rule, name: str) -> Query:
@@ -61,17 +61,12 @@ def q_csv_round_trip(spark, sf):
     path = scratch_path(spark, "union") + ".csv"
     write_csv(profile.with_label_name(posts(spark, sf)).drop("split"), path)
     schema = "id BIGINT, label INT, text STRING, label_name STRING"
-    back = read_posts(spark, path, schema=schema)
-    return back.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    return read_posts(spark, path, schema=schema)
 
 
 def q_union_splits(spark, sf):
-    table = posts(spark, sf)
-    return union_splits({n: _in_split(table, n).drop("split") for n in SPLITS})
-
-
-def q_synthetic_tweets(spark, sf):
-    return synthetic.synthetic_posts(documents(spark, sf), "doc_id")
+    return union_splits({n: read_posts(spark, path, "parquet")
+                         for n, path in stored_splits(spark, sf).items()})
 
 
 # Projections and text rules --------------------------------------------------
@@ -86,6 +81,17 @@ def q_clean_passthrough(spark, sf):
     return read_posts(spark, target)
 
 
+def q_clean_csv(spark, sf):
+    """The cleaning job from CSV to Parquet; every column keeps its type and values."""
+    source, target = scratch_path(spark, "posts") + ".csv", scratch_path(spark, "cleaned") + ".parquet"
+    joined = documents(spark, sf).join(labels(spark, sf).withColumnRenamed("id", "doc_id"),
+                                       "doc_id", "left")
+    body = F.expr(f"CASE WHEN quality = 0 THEN '' ELSE {GOOD_TEXT} END")
+    write_csv(joined.select("doc_id", body.alias("body"), "lang", "n_chars", "quality"), source)
+    clean_file(spark, source, target, "body")
+    return read_posts(spark, target)
+
+
 def q_clean_nulls(spark, sf):
     joined = documents(spark, sf).join(labels(spark, sf).withColumnRenamed("id", "doc_id"),
                                        "doc_id", "left")
@@ -137,7 +143,7 @@ def q_token_counts(spark, sf):
     return post_texts(spark, sf).select("id", text.n_tokens(F.col("text")).alias("n_tokens"))
 
 
-def _vocabulary(spark, sf, size=tokens.DEFAULT_SIZE):
+def _vocabulary(spark, sf, size=VOCABULARY_SIZE):
     return tokens.build_vocabulary(_in_split(post_texts(spark, sf), "train"), size)
 
 
@@ -148,27 +154,27 @@ def _stored_vocabulary(spark, sf):
 
 
 def q_encode_tokens(spark, sf):
-    encoded = tokens.encode(posts(spark, sf), _stored_vocabulary(spark, sf))
-    return encoded.select("id", "label", "split", _as_text("input_ids"), _as_text("attention_mask"))
-
-
-def q_encode_tokens_joined(spark, sf):
-    encoded = tokens.encode(posts(spark, sf), _stored_vocabulary(spark, sf), max_length=64,
-                            broadcast_rows=0)
-    return encoded.select("id", "label", "split", _as_text("input_ids"), _as_text("attention_mask"))
+    encoded = tokens.encode(post_texts(spark, sf), _stored_vocabulary(spark, sf))
+    return with_label(spark, sf, encoded).select(
+        "id", "label", "split", _as_text("input_ids"), _as_text("attention_mask"))
 
 
 # Profile ---------------------------------------------------------------------
 
 def q_sample_per_class(spark, sf):
-    sampled = profile.sample_per_class(_in_split(posts(spark, sf), "train"), 5)
+    return _sample(spark, sf, 5)
+
+
+def _sample(spark, sf, n):
+    labelled = _in_split(post_labels(spark, sf), "train")
+    sampled = profile.sample_per_class(post_texts(spark, sf), n, labelled=labelled)
     return sampled.select("id", "label_name", "sample_rank", text.preview(F.col("text")).alias("text"))
 
 
 def _first_test_rows(spark, sf):
     """The first 1,000 rows of the test split, scored after they are chosen."""
-    rows = profile.head_rows(_in_split(posts(spark, sf), "test"), 1000)
-    return metrics.with_prediction(with_scores(rows))
+    rows = profile.head_rows(_in_split(post_texts(spark, sf), "test"), 1000)
+    return with_label(spark, sf, metrics.with_prediction(with_scores(rows)).drop("text"))
 
 
 def q_eval_subset(spark, sf):
@@ -178,7 +184,9 @@ def q_eval_subset(spark, sf):
 # Measures --------------------------------------------------------------------
 
 def _predicted(spark, sf):
-    return metrics.with_prediction(with_scores(posts(spark, sf)))
+    """Scored before the labels are joined, so that no text is shuffled."""
+    scored = metrics.with_prediction(with_scores(post_texts(spark, sf))).drop("text")
+    return with_label(spark, sf, scored)
 
 
 def q_eval_metrics(spark, sf):
@@ -194,8 +202,8 @@ def q_baseline_report(spark, sf):
 
 
 def _two_outputs(spark, sf):
-    """The cleaned posts, and the same without the emoji step."""
-    table = post_texts(spark, sf)
+    """The cleaned posts, and the same without the emoji step; some have no key."""
+    table = post_texts(spark, sf).withColumn("id", F.expr(SOME_IDS))
     plain = table.select("id", F.lower(clean.replace_markup(F.col("text"))).alias("text_cleaned"))
     return clean_posts(table), plain
 
@@ -213,8 +221,8 @@ def q_parity_mismatches(spark, sf):
 def q_train_predict(spark, sf):
     table = posts(spark, sf)
     path = scratch_path(spark, "model")
-    model.save(model.fit(_in_split(table, "train"), TRAIN_CONFIG), path)
-    predicted = model.predict(model.load(path), _in_split(table, "test"), TRAIN_CONFIG)
+    model.train(table, path)
+    predicted = model.predict(model.load(path), _in_split(table, "test"))
     best = F.element_at("scores", F.col("pred") + 1)
     return predicted.select("id", "label", "pred", best.alias("score"))
 
@@ -222,7 +230,7 @@ def q_train_predict(spark, sf):
 def q_model_selection(spark, sf):
     table = posts(spark, sf)
     _, history = model.select_model(
-        _in_split(table, "train"), _in_split(table, "validation"), TRAIN_CONFIG
+        _in_split(table, "train"), _in_split(table, "validation")
     )
     return spark.createDataFrame(
         history, "reg_param DOUBLE, accuracy DOUBLE, f1_macro DOUBLE, improved BOOLEAN"
@@ -233,12 +241,12 @@ QUERIES: dict[str, Query] = {
     "load_splits": q_load_splits,
     "csv_round_trip": q_csv_round_trip,
     "union_splits": q_union_splits,
-    "synthetic_tweets": q_synthetic_tweets,
     "split_filter": lambda spark, sf: _in_split(posts(spark, sf), "train"),
     "label_names": lambda spark, sf: profile.with_label_name(post_labels(spark, sf)),
     "clean_text": q_clean_text,
     "clean_passthrough": q_clean_passthrough,
     "clean_nulls": q_clean_nulls,
+    "clean_csv": q_clean_csv,
     "clean_stream": q_clean_stream,
     "remove_urls": _on_text(clean.remove_urls, "text"),
     "remove_mentions": _on_text(clean.remove_mentions, "text"),
@@ -253,16 +261,21 @@ QUERIES: dict[str, Query] = {
     "token_counts": q_token_counts,
     "vocabulary": _vocabulary,
     "encode_tokens": q_encode_tokens,
-    "encode_tokens_joined": q_encode_tokens_joined,
+    "token_frequencies": lambda spark, sf: tokens.token_frequencies(
+        _in_split(post_texts(spark, sf), "train")),
     "split_counts": lambda spark, sf: profile.split_counts(post_labels(spark, sf)),
     "class_balance": lambda spark, sf: profile.class_balance(post_labels(spark, sf)),
+    "classes_by_count": lambda spark, sf: profile.by_count(
+        profile.class_balance(post_labels(spark, sf))),
     "length_stats": lambda spark, sf: profile.length_stats(post_texts(spark, sf)),
     "length_histogram": lambda spark, sf: profile.length_histogram(post_texts(spark, sf)),
     "token_quantiles": lambda spark, sf: profile.token_quantiles(post_texts(spark, sf)),
     "token_histogram": lambda spark, sf: profile.token_histogram(post_texts(spark, sf)),
     "noise_profile": lambda spark, sf: profile.noise_profile(post_texts(spark, sf)),
     "sample_per_class": q_sample_per_class,
-    "head_rows": lambda spark, sf: profile.head_rows(posts(spark, sf)),
+    "sample_2000_per_class": lambda spark, sf: _sample(spark, sf, 2000),
+    "head_rows": lambda spark, sf: with_label(
+        spark, sf, profile.head_rows(post_texts(spark, sf))),
     "eval_subset": q_eval_subset,
     "argmax_pred": lambda spark, sf: _predicted(spark, sf).select("id", "label", "pred"),
     "eval_metrics": q_eval_metrics,

@@ -19,6 +19,9 @@ CSV_OPTIONS = {
     "header": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
+# On reading, a field is null if nothing stands between the commas; quotes around nothing
+# are an empty text.
+READ_OPTIONS = {**CSV_OPTIONS, "nullValue": "\x00"}
 
 
 def detect_format(path: str) -> str:
@@ -34,33 +37,34 @@ def read_posts(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
+    infer_schema: bool = False,
 ) -> DataFrame:
     """Read a table of posts; the format follows the extension unless given.
 
     A CSV file with line breaks inside fields cannot be split, so one such file is
     one task: keep many files, or pass ``multi_line=False`` if no field has a break.
     In a file whose rows end in CRLF, Spark reads a CRLF inside a field as LF.
-    Without a schema every CSV column is read as string, which saves a second scan.
+    Without a schema every CSV column is read as string, which saves a second scan;
+    ``infer_schema`` has Spark find the types.
     """
     fmt = fmt or detect_format(path)
     if fmt == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.parquet(path)
     if fmt == "csv":
-        reader = spark.read.options(**CSV_OPTIONS, multiLine=multi_line)
+        reader = spark.read.options(**READ_OPTIONS, multiLine=multi_line, inferSchema=infer_schema)
         return (reader if schema is None else reader.schema(schema)).csv(path)
     raise ValueError(UNSUPPORTED)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out a table that a scan delivers in fewer pieces than there are cores.
+    """Share out a table that has fewer files than there are cores.
 
     Text rules cost far more than moving the text, so a file that cannot be split
-    is worth one shuffle.  A table with enough pieces, as any large one has, is
-    left alone.
+    is worth one shuffle.  A table of many files, as any large one is, is left alone.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, *keys)
 
 
 def require_text_column(df: DataFrame, name: str = "text") -> DataFrame:

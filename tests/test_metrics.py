@@ -105,3 +105,22 @@ def test_parity_of_a_repeated_key_does_not_multiply(spark):
     assert tuple(parity.parity_check(many, many, "value").first()) == (2000, 2000, True, 0)
     plan = parity.parity_check(many, many, "value")._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Cartesian" not in plan
+
+
+def test_confusion_matrix_refuses_unknown_classes(spark):
+    df = spark.createDataFrame([(0, 3), (3, 0), (0, 0)], "label int, pred int")
+    for part in (df, df.filter("label = 3"), df.filter("pred = 3")):
+        with pytest.raises(Exception, match="none of 3 classes"):
+            metrics.confusion_matrix(part).collect()
+    assert metrics.confusion_matrix(df, classes=4).count() == 4
+
+
+def test_null_keys_are_compared(spark):
+    def one(*rows):
+        return spark.createDataFrame(list(rows), "id int, text string")
+
+    left, right = one((None, "a"), (1, "x")), one((None, "b"), (1, "x"))
+    assert tuple(parity.parity_check(left, right, "text").first()) == (2, 2, False, 1)
+    assert [tuple(r) for r in parity.parity_mismatches(left, right, "text").collect()] == [
+        (None, "a...", "b...")]
+    assert parity.parity_check(left, left, "text").first().all_match

@@ -33,7 +33,7 @@ def test_defaults():
 def test_fit_and_predict(posts, changes):
     config = model.TrainConfig(max_iter=10, num_features=1 << 10, **changes)
     fitted = model.fit(posts.filter("split = 'train'"), config)
-    rows = model.predict(fitted, posts.filter("split = 'test'"), config)
+    rows = model.predict(fitted, posts.filter("split = 'test'"))
     assert rows.columns == ["id", "split", "label", "text", "scores", "pred"]
     first = rows.first()
     assert len(first.scores) == 3 and sum(first.scores) == pytest.approx(1.0)
@@ -50,14 +50,14 @@ def test_selection_stops_after_two_fits_without_gain(posts):
     train, check = (posts.filter(f"split = '{s}'") for s in ("train", "validation"))
     best, history = model.select_model(train, check, CONFIG, [0.01, 0.02, 0.03, 0.04, 0.05])
     assert [h["improved"] for h in history] == [True, False, False]
-    assert evaluate(model.predict(best, check, CONFIG)).first().f1_macro == history[0]["f1_macro"]
+    assert evaluate(model.predict(best, check)).first().f1_macro == history[0]["f1_macro"]
 
 
 def test_train_saves_the_best_model(spark, posts):
     path = scratch_path(spark, "model")
     result = model.train(posts, path, CONFIG, [0.01])
     assert result == {"accuracy": 1.0, "f1_macro": 1.0}
-    again = model.predict(model.load(path), posts.filter("split = 'validation'"), CONFIG)
+    again = model.predict(model.load(path), posts.filter("split = 'validation'"))
     assert evaluate(again).first().asDict() == result
 
 
@@ -75,3 +75,22 @@ def test_external_model_on_encoded_posts(spark, posts):
     encoded = tokens.encode(posts, vocabulary, max_length=16)
     scored = model.predict_external(encoded, load, max_length=16, batch_size=7)
     assert evaluate(scored).first().asDict() == {"accuracy": 1.0, "f1_macro": 1.0}
+
+
+def test_settings_are_stored_with_the_model(spark, posts):
+    noisy = posts.selectExpr("*", "concat(text, ' @a #b https://x.com/', id) AS long").drop(
+        "text").withColumnRenamed("long", "text")
+    config = model.TrainConfig(max_iter=5, num_features=1 << 10, clean=True)
+    fitted = model.fit(noisy.filter("split = 'train'"), config)
+    path = scratch_path(spark, "model")
+    model.save(fitted, path)
+    loaded = model.load(path)
+    assert loaded.config == config
+    test = noisy.filter("split = 'test'")
+    before = {r.id: r.scores for r in model.predict(fitted, test).collect()}
+    assert {r.id: r.scores for r in model.predict(loaded, test.drop("label")).collect()} == before
+
+
+def test_empty_validation_split_is_an_error(posts):
+    with pytest.raises(ValueError, match="validation split is empty"):
+        model.select_model(posts, posts.filter("false"), CONFIG, [0.01])

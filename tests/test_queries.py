@@ -60,3 +60,21 @@ def test_plans_have_no_cross_join_and_no_python(spark, name):
 def test_counting_classes_reads_no_text(spark):
     plan = QUERIES["class_balance"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+@pytest.mark.parametrize("name", ["eval_metrics", "argmax_pred", "confusion_matrix", "head_rows",
+                                  "classification_report", "sample_per_class", "eval_subset",
+                                  "baseline_report"])
+def test_joins_shuffle_no_text(spark, name):
+    """Of the exchanges that joins and aggregates need, none carries the posts' texts."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    nodes = [part for part in plan.split("\n\n") if "ENSURE_REQUIREMENTS" in part]
+    limited = ("head_rows", "eval_subset", "baseline_report")  # the first few rows come together
+    assert nodes and all("text#" not in part.split("Arguments")[0] for part in nodes
+                         if "SinglePartition" not in part or name not in limited)

@@ -61,8 +61,18 @@ def test_clean_file_keeps_columns_and_names_the_new_one(spark, tmp_path):
                                     "id string, text string, tag string"), source)
     clean_file(spark, source, target)
     rows = {r.id: r for r in spark.read.parquet(target).collect()}
-    assert rows["7"].asDict() == {"id": "7", "text": "Hi @Bob", "tag": "x", "text_cleaned": "hi @user"}
-    assert rows["8"].text_cleaned == ""
+    assert rows[7].asDict() == {"id": 7, "text": "Hi @Bob", "tag": "x", "text_cleaned": "hi @user"}
+    assert rows[8].text is None and rows[8].text_cleaned == ""
+
+
+def test_clean_file_keeps_types_empty_texts_and_order(spark, tmp_path):
+    source, target = str(tmp_path / "in.csv"), str(tmp_path / "out.parquet")
+    rows = [(2, "", 1.5), (1, None, None), (3, 'say "hi", @x', 0.0)]
+    write_csv(spark.createDataFrame(rows, "id int, text string, score double").coalesce(1), source)
+    clean_file(spark, source, target)
+    back = spark.read.parquet(target)
+    assert [f.dataType.simpleString() for f in back.schema] == ["int", "string", "double", "string"]
+    assert [tuple(r)[:3] for r in back.collect()] == rows
 
 
 def test_splits_are_named_and_pruned(spark):
@@ -84,9 +94,11 @@ def test_union_keeps_duplicates(spark):
 
 
 def test_spread_only_widens(spark):
-    narrow = spark.range(100).coalesce(1)
-    assert spread(narrow, "id").rdd.getNumPartitions() == 8
-    wide = spark.range(0, 100, 1, 20)
+    one, many = scratch_path(spark, "one"), scratch_path(spark, "many")
+    write_parquet(spark.range(100).coalesce(1), one)
+    assert spread(spark.read.parquet(one), "id").rdd.getNumPartitions() == 8
+    write_parquet(spark.range(0, 100, 1, 20), many)
+    wide = spark.read.parquet(many)
     assert spread(wide, "id") is wide
 
 

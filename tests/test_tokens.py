@@ -39,22 +39,37 @@ def test_vocabulary(posts):
     assert found == expected_vocabulary(7)
 
 
-@pytest.mark.parametrize("broadcast_rows", [100, 0])
 @pytest.mark.parametrize("max_length", [8, 64])
-def test_encode(posts, broadcast_rows, max_length):
-    encoded = tokens.encode(posts, tokens.build_vocabulary(posts, 7), max_length,
-                            broadcast_rows=broadcast_rows)
+def test_encode(posts, max_length):
+    encoded = tokens.encode(posts, tokens.build_vocabulary(posts, 7), max_length)
     assert encoded.columns == ["id", "input_ids", "attention_mask"]
     found = {r.id: (r.input_ids, r.attention_mask) for r in encoded.collect()}
     assert found == expected_rows(expected_vocabulary(7), max_length)
 
 
-def test_long_tokens_are_joined_not_sent(posts):
-    vocabulary = tokens.build_vocabulary(posts, 7)
-    encoded = tokens.encode(posts, vocabulary, 8, broadcast_bytes=10)
-    assert "Python" not in encoded._jdf.queryExecution().executedPlan().toString()
-    found = {r.id: (r.input_ids, r.attention_mask) for r in encoded.collect()}
-    assert found == expected_rows(expected_vocabulary(7), 8)
+def test_rows_are_encoded_one_by_one(spark):
+    rows = [(1, "a b c"), (1, "c c"), (None, "b a"), (None, None), (1, "a b c")]
+    posts = spark.createDataFrame(rows, "id long, text string")
+    vocabulary = tokens.build_vocabulary(posts, 3)
+    ids = {r.token: r.token_id for r in vocabulary.collect()}
+    found = [tuple(r.input_ids) for r in tokens.encode(posts, vocabulary, 8).collect()]
+    expected = [tuple([tokens.BOS, *(ids[t] for t in (text or "").split()), tokens.EOS]) for _, text in rows]
+    assert sorted(found) == sorted(e + (tokens.PAD,) * (8 - len(e)) for e in expected)
+
+
+@pytest.mark.parametrize("size", [1000, 250_000])
+def test_size_of_vocabulary_does_not_change_the_rows(spark, size):
+    names = spark.range(size).selectExpr("concat('t', id) AS token", "CAST(id + 4 AS INT) AS token_id")
+    posts = spark.createDataFrame([(1, "t7 t999 zzz"), (1, "t0")], "id long, text string")
+    found = {tuple(r.input_ids) for r in tokens.encode(posts, names, 6).collect()}
+    assert found == {(tokens.BOS, 11, 1003, tokens.UNK, tokens.EOS, tokens.PAD),
+                     (tokens.BOS, 4, tokens.EOS, *[tokens.PAD] * 3)}
+
+
+def test_too_large_vocabulary_is_refused(posts, monkeypatch):
+    monkeypatch.setattr(tokens, "MOST_BYTES", 10)
+    with pytest.raises(ValueError, match="at most"):
+        tokens.encode(posts, tokens.build_vocabulary(posts, 7))
 
 
 def test_small_vocabulary_needs_no_shuffle(posts):
