@@ -251,5 +251,10 @@ def sample_per_class(df: DataFrame, n: int = 5, seed: int = 42, id_col: str = "i
 
 
 def head_rows(df: DataFrame, n: int = 5, id_col: str = "id") -> DataFrame:
-    """The first ``n`` rows by id; each task keeps only its own first n."""
-    return df.orderBy(id_col).limit(n)
+    """The first ``n`` rows by id.
+
+    The ids are found alone, each task keeping only its own first n; what belongs to
+    them is read again, so nothing but ids is sorted and shuffled.
+    """
+    first = df.select(id_col).orderBy(id_col).limit(n)
+    return df.join(F.broadcast(first.distinct()), id_col, "left_semi").orderBy(id_col).limit(n)
