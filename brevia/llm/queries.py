@@ -6,6 +6,7 @@ from .decontamination import q_decontamination
 from .jaccard import q_jaccard
 from .language import q_language
 from .mixing import q_mixing
+from .oracle import ORACLE
 from .pages import q_pages
 from .passages import q_passages
 from .quality import q_quality
@@ -25,4 +26,5 @@ QUERIES = {
     "op9_virtual_slots": q_sharding,
     "op10_weak_supervision": q_quality,
 }
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
