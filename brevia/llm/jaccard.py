@@ -14,11 +14,14 @@ document also takes part in the next band if partners can be that large.
 Pairs that meet are verified on the shingles themselves:
 
 1. Documents with one set are a class and one node, however many they are.
-2. In each bucket every node is compared with the bucket's first.
+2. In each bucket every node is compared with the bucket's first, unless the two are in
+   one component already.
 3. Of the pairs left over in a bucket those with both ends in one component need no
    comparison; all others are compared.
 
-No pair within a component is formed after step 2, and no bucket is capped.
+Before texts are fetched, a second parity sketch of fixed length rules out pairs whose
+sketches differ in more bits than linked sets could.  No pair within a component is formed
+after step 2, and no bucket is capped.
 
 * Null or wordless text: no shingles; its own component; linked with nothing.
 * Fewer words than a shingle has: the words as one shingle.
@@ -43,6 +46,7 @@ from .components import components
 
 BAND = 2.0
 SPARE = 1.4
+SKETCH_WORDS = 8
 MEMBERS_A_TASK = 512
 
 
@@ -77,6 +81,20 @@ def set_hash(values: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(values.tobytes())
 
 
+def small_sketch(values: np.ndarray) -> np.ndarray:
+    """A parity sketch of one fixed length, to compare pairs by before they are formed."""
+    bits = 64 * SKETCH_WORDS
+    places = (values >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def may_link(like: Likeness, a: str = "a", b: str = "b") -> str:
+    """SQL: neither the sizes nor the small sketches of two sets rule out a link."""
+    apart = " + ".join(f"bit_count(sketch_{a}[{k}] ^ sketch_{b}[{k}])" for k in range(SKETCH_WORDS))
+    return (f"{like.den} * least(n_{a}, n_{b}) >= {like.num} * greatest(n_{a}, n_{b}) AND"
+            f" ({apart}) * {like.den + like.num} <= (n_{a} + n_{b}) * {like.den - like.num}")
+
+
 def bands(most: int = 1 << 40) -> list[int]:
     """The largest size of each band."""
     out = [4]
@@ -111,7 +129,7 @@ def piece_keys(values: np.ndarray, like: Likeness) -> np.ndarray:
 
 
 def sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, set_id) of every row."""
+    """(id, n_shingles, set_id, sketch) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -119,10 +137,12 @@ def sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(f) for f in found], pa.int64()),
                 pa.array([set_hash(f) if len(f) else None for f in found], pa.binary()),
-            ], ["id", "n_shingles", "set_id"])
+                pa.array([small_sketch(f) for f in found], pa.list_(pa.int64())),
+            ], ["id", "n_shingles", "set_id", "sketch"])
 
     return docs.select(F.col(key).alias("id"), text).mapInArrow(
-        run, f"id {docs.schema[key].dataType.simpleString()}, n_shingles BIGINT, set_id BINARY")
+        run, f"id {docs.schema[key].dataType.simpleString()}, n_shingles BIGINT, set_id BINARY,"
+             " sketch ARRAY<BIGINT>")
 
 
 def short_id(set_id: str = "set_id"):
@@ -225,45 +245,73 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
                        text: str = "text") -> DataFrame:
     """(id, n_shingles, class_id, component_id, n_links) of every row.
 
-    class_id is the smallest id with the same set, n_links the number of verified links
-    of that class with other classes."""
+    class_id is the smallest id with the same set, n_links the number of links of that
+    class with other classes that had to be verified to know its component."""
     known = stored(sets(docs, like, key, text), "shingle-sets")
     classes = known.filter("set_id IS NOT NULL AND id IS NOT NULL").groupBy(
-        "set_id", "n_shingles").agg(F.min("id").alias("class_id"))
-    names = classes.select(short_id().alias("short_id"), F.col("class_id").alias("node"),
-                           F.col("n_shingles").alias("n"))
+        "set_id", "n_shingles").agg(F.min("id").alias("class_id"), F.first("sketch").alias("sketch"))
+    classes = stored(classes, "set-classes")
+    names = classes.select(short_id().alias("short_id"), F.col("class_id").alias("node"))
     shared = buckets(docs.filter(F.col(key).isNotNull()), like, text)
-    meet = stored(shared.join(names, "short_id").select("bucket", "node", "n"), "buckets")
+    meet = stored(shared.join(names, "short_id").select("bucket", "node"), "buckets")
+
+    def about(side: str) -> DataFrame:
+        """Size and sketch of the nodes in column ``side``."""
+        return classes.select(F.col("class_id").alias(side), F.col("n_shingles").alias(f"n_{side}"),
+                              F.col("sketch").alias(f"sketch_{side}"))
 
     firsts = meet.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"))
     seats = stored(meet.join(firsts.filter("first < last"), "bucket"), "bucket-seats")
-    wanted = seats.select(F.col("node").alias("id")).distinct()
-    texts = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id"),
-                   "bucket-texts")
-
-    tried = stored(seats.filter("node <> first").select(
-        F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "tried-pairs")
+    met = seats.filter("node <> first").select(
+        F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    near = stored(met.join(about("a"), "a").join(about("b"), "b").filter(may_link(like)).select(
+        "a", "b"), "near-pairs")
+
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        return stored(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(
+            ids, "id", "left_semi"), name)
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs whose ends are not in one component yet."""
+        for side in ("a", "b"):
+            pairs = pairs.join(labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}")),
+                               side, "left")
+        other = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+        return pairs.filter(other).select("a", "b")
+
+    # Each node with the smallest first it has met, then with the others that are needed.
+    texts = texts_of(ends(near), "pair-texts")
+    tried = stored(near.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
     links = stored(verified(tried, texts, like), "first-links")
+    again = stored(apart(near.join(tried, ["a", "b"], "left_anti"), components(links)), "more-pairs")
+    tried = tried.unionByName(again)
+    links = stored(links.unionByName(verified(again, texts, like)), "more-links")
     labels = components(links)
 
     # Buckets whose nodes are not all in one component by now.
     marked = seats.join(labels.withColumnRenamed("id", "node"), "node", "left").select(
-        "bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+        "bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed_up = marked.groupBy("bucket").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("seats")
     ).filter("low < high AND seats > 2").select("bucket")
-    left = stored(marked.join(mixed_up, "bucket", "left_semi"), "mixed-buckets")
-    one = left.select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"),
-                      F.col("label").alias("label_a"))
-    other = left.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"),
-                        F.col("label").alias("label_b"))
-    near = f"{like.den} * least(n_a, n_b) >= {like.num} * greatest(n_a, n_b)"
-    rest = one.join(other, "bucket").filter(f"a > b AND label_a <> label_b AND {near}").select(
-        "a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = verified(stored(rest, "other-pairs"), texts, like)
-    links = stored(links.unionByName(more), "all-links")
+    left = marked.join(mixed_up, "bucket", "left_semi")
+
+    def half(side: str) -> DataFrame:
+        return left.withColumnsRenamed({"node": side, "label": f"label_{side}"}).join(about(side), side)
+
+    rest = half("a").join(half("b"), "bucket").filter(
+        f"a > b AND label_a <> label_b AND {may_link(like)}").select("a", "b").distinct()
+    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    if not rest.isEmpty():
+        missing = stored(ends(rest).join(texts, "id", "left_anti"), "other-ids")
+        if not missing.isEmpty():
+            texts = texts.unionByName(texts_of(missing, "other-texts"))
+        links = stored(links.unionByName(verified(rest, texts, like)), "all-links")
     # Rows that share an id are one document: the classes of their sets belong together.
-    named = known.join(classes.drop("n_shingles"), "set_id").select("id", "class_id")
+    named = known.join(classes.select("set_id", "class_id"), "set_id").select("id", "class_id")
     twice = named.groupBy("id").agg(
         F.min("class_id").alias("low"), F.max("class_id").alias("high")).filter("low < high")
     same = named.join(twice.select("id"), "id", "left_semi").filter("id <> class_id").select(
@@ -274,8 +322,9 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
         F.count(F.lit(1)).alias("n_links"))
     nodes = final.join(degree, F.col("id") == F.col("node"), "left").select(
         F.col("id").alias("class_id"), "label", "n_links")
-    return known.join(classes.drop("n_shingles"), "set_id", "left").select(
-        "id", "n_shingles", F.coalesce("class_id", "id").alias("class_id")
+    return known.join(classes.select("set_id", "class_id"), "set_id", "left").select(
+        "id", "n_shingles",
+        F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id")
     ).join(nodes, "class_id", "left").select(
         "id", "n_shingles", "class_id", F.coalesce("label", "class_id").alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -283,5 +332,4 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
 
 def q_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_components(table(spark, sf_dir, "documents"), Likeness(3, 9, 10))
-    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "class_id",
-                        "n_links")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -166,3 +166,9 @@ def test_mixing_odd_rows(spark, make_docs, odd_rows):
     some = make_docs([(k, "fine words here" if k % 2 else "### junk ###") for k in range(40)])
     kept = mixing.mixed_documents(some, bad)
     assert kept.filter(F.col("doc_id") % 2 == 1).select("doc_id").distinct().count() == 20
+
+
+@pytest.mark.parametrize("name", ["op5_secret_ledger", "op6_soft_membership_mix", "op9_virtual_slots"])
+def test_native_queries_run_no_python(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
