@@ -5,7 +5,7 @@ with a smaller id.
 
 1. Documents with one sequence of words are a class; all but those with its smallest id
    go as a whole, if they are as long as a window.
-2. Every window has a sampled phrase of a few words, chosen by its words alone, so equal
+2. Every window has a sampled phrase of a few words, that with the least hash, so equal
    windows have equal phrases.  Phrases of documents of different classes that are equal
    are confirmed, by their text, to recur.
 3. Documents are dealt into blocks of about equal size.  Each block is a shard: the
@@ -31,10 +31,10 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, signed, split_words, stored, table, window_hashes
+from .common import WordHashes, mixed, signed, split_words, stored, table, window_hashes
 
 WINDOW = 50
 PHRASE = 6
@@ -51,17 +51,39 @@ def tag(sequence: bytes) -> int:
     return int.from_bytes(sequence[:4], "big") >> 1
 
 
-def phrase_starts(words: np.ndarray, window: int, size: int) -> np.ndarray:
-    """For each window the place of its phrase: the first of those with the least hash."""
+def sampled(hashes: np.ndarray, span: int) -> np.ndarray:
+    """For each run of ``span`` phrases the least of their hashes.  Minima over runs of
+    1, 2, 4 ... phrases are put together, so long runs cost few steps."""
+    reach, least = 1, hashes
+    while 2 * reach <= span:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    rest = span - reach
+    return np.minimum(least[:-rest], least[rest:]) if rest else least
+
+
+def phrases_of(words: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the phrase at each word, and of the phrase sampled for each window; a
+    text must be as long as a window."""
     hashes = window_hashes(words, size, seed=7)
-    span = window - size + 1
-    if len(hashes) < span:
-        return np.empty(0, np.int64)
-    out = np.empty(len(hashes) - span + 1, np.int64)
-    for at in range(0, len(out), 1 << 16):  # parts, so that a very long text takes no more memory
-        view = np.lib.stride_tricks.sliding_window_view(hashes[at:at + (1 << 16) + span - 1], span)
-        out[at:at + len(view)] = at + np.arange(len(view)) + view.argmin(axis=1)
-    return out
+    return hashes, sampled(hashes, window - size + 1)
+
+
+class Rolling:
+    """Hashes of long runs of words from sums of words times powers of an odd number."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, words: np.ndarray, size: int) -> np.ndarray:
+        if len(self.up) < len(words):
+            self.up, self.down = (np.cumprod(np.concatenate([
+                np.ones(1, np.uint64), np.full(2 * len(words), b, np.uint64)]))
+                for b in (self.base, self.inverse))
+        sums = np.concatenate([np.zeros(1, np.uint64),
+                               np.cumsum(mixed(words) * self.down[:len(words)])])
+        return mixed((sums[size:] - sums[:-size]) * self.up[:len(words) - size + 1])
 
 
 def sequences(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -100,8 +122,10 @@ def recurring_phrases(docs: DataFrame, blocks: int, window: int, size: int) -> D
                 if len(words) < window:
                     continue
                 name = int.from_bytes(sequence_hash(words)[:8], "big", signed=True)
-                starts = np.unique(phrase_starts(hashes.of(words), window, size)).tolist()
-                out += [(block, p, name) for p in {b" ".join(words[s:s + size]) for s in starts}]
+                every, chosen = phrases_of(hashes.of(words), window, size)
+                distinct, first = np.unique(every, return_index=True)
+                starts = first[np.searchsorted(distinct, np.unique(chosen))].tolist()
+                out += [(block, b" ".join(words[s:s + size]), name) for s in starts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int32()),
                  pa.array([o[1] for o in out], pa.binary()).cast(pa.string()),
@@ -109,9 +133,10 @@ def recurring_phrases(docs: DataFrame, blocks: int, window: int, size: int) -> D
 
     seen = docs.select("block", "text").mapInArrow(run, "block INT, phrase STRING, name BIGINT")
     held = seen.groupBy("block", "phrase").agg(F.min("name").alias("low"), F.max("name").alias("high"))
-    every = held.groupBy("phrase").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    return held.select("block", "phrase").join(
-        every.filter("low < high").select("phrase"), "phrase").select("block", "phrase")
+    every = Window.partitionBy("phrase")
+    return held.select("block", "phrase", F.min("low").over(every).alias("low"),
+                       F.max("high").over(every).alias("high")).filter(
+        "low < high").select("block", "phrase")
 
 
 class Shard:
@@ -180,9 +205,8 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, blocks: int,
             return key, len(words), EMPTY, True, tag(name), None, []
         runs: list[int] = []
         if key is not None and len(words) >= window and len(found := shard.starts(words)):
-            hit = np.zeros(len(words), bool)
-            hit[found] = True
-            may = hit[phrase_starts(hashes.of(words), window, size)]
+            every, chosen = phrases_of(hashes.of(words), window, size)
+            may = np.isin(chosen, every[found])
             runs = np.flatnonzero(np.diff(may.astype(np.int8), prepend=0, append=0)).tolist()
         digest = hashlib.sha256(b" ".join(words)).hexdigest()
         return key, len(words), digest, False, tag(name), text if runs else None, runs
@@ -193,24 +217,24 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, blocks: int,
 def windows(rows: DataFrame, window: int) -> DataFrame:
     """(h1, h2, id, spot) of the windows in the rows' runs; a spot is tag and start."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes, one, two = WordHashes(), Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
         for batch in batches:
             h1, h2, ids, spots = ([np.empty(0, np.int64)] for _ in range(4))
             for key, mark, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 values = hashes.of(split_words(text))
                 for begin, end in zip(runs[::2], runs[1::2]):
                     part = values[begin:end + window - 1]
-                    h1.append(signed(window_hashes(part, window, seed=1)))
-                    h2.append(signed(window_hashes(part, window, seed=2) >> np.uint64(33)))
+                    h1.append(signed(one(part, window)))
+                    h2.append(signed(two(part, window) >> np.uint64(49)))
                     ids.append(np.full(end - begin, key, np.int64))
                     spots.append(np.arange(begin, end, dtype=np.int64) | mark << 32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2).astype(np.int32)),
+                [pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2).astype(np.int16)),
                  pa.array(np.concatenate(ids)), pa.array(np.concatenate(spots))],
                 ["h1", "h2", "id", "spot"])
 
     return rows.select("id", "tag", "text", "runs").mapInArrow(
-        run, "h1 BIGINT, h2 INT, id BIGINT, spot BIGINT")
+        run, "h1 BIGINT, h2 SMALLINT, id BIGINT, spot BIGINT")
 
 
 def trimmed(rows: DataFrame, window: int) -> DataFrame:
@@ -258,8 +282,8 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     maybe = found.filter(F.size("runs") > 0)
     seen = windows(maybe, window)
-    first = seen.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    gone = seen.join(first.filter("first < last"), ["h1", "h2"]).filter("id > first").groupBy(
+    first = seen.groupBy("h1", "h2").agg(F.min("id").alias("first"))
+    gone = seen.join(first, ["h1", "h2"]).filter("id > first").groupBy(
         "id", F.shiftright("spot", 32).alias("tag")).agg(
         F.collect_list(F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int")).alias("gone"))
     cut = trimmed(maybe.join(gone, ["id", "tag"], "left"), window)
