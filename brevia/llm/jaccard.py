@@ -210,18 +210,30 @@ def buckets(docs: DataFrame, like: Likeness, text: str) -> DataFrame:
         shared, schema)
 
 
+def with_parts(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(b, parts): the parts that each b's pairs are dealt out in, so that a task holds one
+    set and reads some others as a stream; and the pairs (a, b, part)."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_TASK).alias("parts"))
+    return parts, pairs.join(parts, "b").select(
+        "a", "b", F.pmod(F.xxhash64("a"), "parts").alias("part"))
+
+
+def heads_of(texts: DataFrame) -> DataFrame:
+    """(b, part, a, text) of the texts (b, parts, text) that others are compared with."""
+    return texts.select("b", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"),
+                        F.lit(None).cast("bigint").alias("a"), "text")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough.
+    """The pairs (a, b) whose sets are similar enough, by the texts (id, text)."""
+    parts, dealt = with_parts(pairs)
+    heads = heads_of(parts.join(texts, F.col("b") == F.col("id")))
+    members = dealt.join(texts, F.col("a") == F.col("id")).select("b", "part", "a", "text")
+    return compared(heads, members, like)
 
-    Each b's text meets the texts of its a's; a b with very many of them is dealt out in
-    parts, so that a task holds one set and reads the others as a stream.
-    """
-    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_A_TASK).alias("parts"))
-    heads = parts.withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))).join(
-        texts, F.col("b") == F.col("id")).select("b", "part", F.lit(None).cast("bigint").alias("a"), "text")
-    members = pairs.join(parts, "b").join(texts, F.col("a") == F.col("id")).select(
-        "b", F.pmod(F.xxhash64("a"), "parts").alias("part"), "a", "text")
 
+def compared(heads: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) of a member and its head whose sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, head, own = WordHashes(), None, []
         for batch in batches:
@@ -283,9 +295,17 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
         return pairs.filter(other).select("a", "b")
 
     # Each node with the smallest first it has met, then with the others that are needed.
-    texts = texts_of(ends(near), "pair-texts")
+    # Texts are fetched together with what they are to be compared with.
     tried = stored(near.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
-    links = stored(verified(tried, texts, like), "first-links")
+    parts, dealt = with_parts(tried)
+    roles = ends(near).join(dealt.withColumnRenamed("a", "id"), "id", "left").join(
+        parts.withColumnRenamed("b", "id"), "id", "left")
+    fetched = stored(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(
+        roles, "id"), "pair-texts")
+    texts = fetched.select("id", "text")
+    heads = heads_of(fetched.filter("parts IS NOT NULL").select(F.col("id").alias("b"), "parts", "text"))
+    members = fetched.filter("b IS NOT NULL").select("b", "part", F.col("id").alias("a"), "text")
+    links = stored(compared(heads, members, like), "first-links")
     again = stored(apart(near.join(tried, ["a", "b"], "left_anti"), components(links)), "more-pairs")
     tried = tried.unionByName(again)
     links = stored(links.unionByName(verified(again, texts, like)), "more-links")
