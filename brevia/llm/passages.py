@@ -31,7 +31,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mixed, signed, split_words, stored, table, window_hashes
@@ -39,6 +39,7 @@ from .common import WordHashes, mixed, signed, split_words, stored, table, windo
 WINDOW = 50
 PHRASE = 6
 BLOCK_BYTES = 8 << 20
+SEVERAL = "several texts"
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -110,8 +111,8 @@ def recurring_phrases(docs: DataFrame, blocks: int, window: int, size: int) -> D
     """(block, phrase): each phrase that documents of different text share, with every
     block that has it.
 
-    A block sends a phrase once, however often it has it, so a phrase of very many
-    documents has no more rows than there are blocks.
+    A task sends a phrase once with the numbers of its blocks, however many documents have
+    it, and the set of all its blocks has one small number for each block at most.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -132,11 +133,9 @@ def recurring_phrases(docs: DataFrame, blocks: int, window: int, size: int) -> D
                  pa.array([o[2] for o in out], pa.int64())], ["block", "phrase", "name"])
 
     seen = docs.select("block", "text").mapInArrow(run, "block INT, phrase STRING, name BIGINT")
-    held = seen.groupBy("block", "phrase").agg(F.min("name").alias("low"), F.max("name").alias("high"))
-    every = Window.partitionBy("phrase")
-    return held.select("block", "phrase", F.min("low").over(every).alias("low"),
-                       F.max("high").over(every).alias("high")).filter(
-        "low < high").select("block", "phrase")
+    held = seen.groupBy("phrase").agg(F.min("name").alias("low"), F.max("name").alias("high"),
+                                      F.collect_set("block").alias("blocks"))
+    return held.filter("low < high").select(F.explode("blocks").alias("block"), "phrase")
 
 
 class Shard:
@@ -165,15 +164,18 @@ LOCATED = ("id BIGINT, n_words BIGINT, kept_sha256 STRING, whole BOOLEAN, tag BI
            " runs ARRAY<INT>")
 
 
-def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, blocks: int, window: int,
-            size: int) -> DataFrame:
+def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shared: DataFrame, blocks: int,
+            window: int, size: int) -> DataFrame:
     """Each row with the windows that may recur, as runs of starts; its text too, if there
-    are any.  ``whole`` tells that all of its words go, as it is a copy."""
+    are any.  ``whole`` tells that all of its words go, as it is a copy.  ``tag`` is 0 but
+    for the ids in ``shared``, which have several texts."""
     rows = docs.select("block", F.lit(2).alias("kind"), "id", "text").unionByName(
         phrases.select("block", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"),
                        F.col("phrase").alias("text"))).unionByName(
         copies.select(block_of("id", blocks).alias("block"), F.lit(1).alias("kind"), "id",
-                      F.lower(F.hex("sequence")).alias("text")))
+                      F.lower(F.hex("sequence")).alias("text"))).unionByName(
+        shared.select(block_of("id", blocks).alias("block"), F.lit(1).alias("kind"), "id",
+                      F.lit(SEVERAL).alias("text")))
     ordered = rows.repartition(blocks, "block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,15 +203,16 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, blocks: int,
     def place(key, text, shard, copies_, hashes) -> tuple:
         words = split_words(text)
         name = sequence_hash(words)
+        mark = tag(name) if (key, SEVERAL) in copies_ else 0
         if (key, name.hex()) in copies_:
-            return key, len(words), EMPTY, True, tag(name), None, []
+            return key, len(words), EMPTY, True, mark, None, []
         runs: list[int] = []
         if key is not None and len(words) >= window and len(found := shard.starts(words)):
             every, chosen = phrases_of(hashes.of(words), window, size)
             may = np.isin(chosen, every[found])
             runs = np.flatnonzero(np.diff(may.astype(np.int8), prepend=0, append=0)).tolist()
         digest = hashlib.sha256(b" ".join(words)).hexdigest()
-        return key, len(words), digest, False, tag(name), text if runs else None, runs
+        return key, len(words), digest, False, mark, text if runs else None, runs
 
     return ordered.mapInArrow(run, LOCATED)
 
@@ -275,10 +278,14 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     least = classes.groupBy("sequence").agg(F.min("id").alias("least"))
     copies = classes.join(least, "sequence").filter("id > least").select("id", "sequence").distinct()
 
+    shared = facts.filter("id IS NOT NULL").groupBy("id").agg(
+        F.min("sequence").alias("low"), F.max("sequence").alias("high")).filter("low < high").select("id")
+
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"),
                        block_of(key, blocks).alias("block"))
     phrases = recurring_phrases(rows, blocks, window, size)
-    found = stored(located(rows, phrases, copies, blocks, window, size), "located")
+    found = stored(located(rows, phrases, copies, shared, blocks, window, size),
+                   "located")
 
     maybe = found.filter(F.size("runs") > 0)
     seen = windows(maybe, window)
