@@ -5,13 +5,16 @@ occur in every page as often as each other, so tokens with one vector of occurre
 the host's pages form an equivalence class.  Classes that are frequent and whose paths
 nest make the template; what varies between their tokens are slots.  The slots of the
 article are extracted, slots of menus, adverts and the like are not, and neither are
-texts that belong to the template itself.
+texts that belong to the template itself.  Copies of one article say nothing about the
+template, so pages count by what their articles say, and a text inside an article is the
+template's only where most of what the host's articles say differs.
 
 An occurrence vector is kept as an exclusive or of hashes of (page, count): equal vectors
 have equal sums, sums of parts can be combined before they are sent, and no page has to
 meet another one.  So a host may have any number of pages.
 
-* Null html: empty text.  Null address: pages without one form a host of their own.
+* Null html: empty text.  Null address or one without a host: the page has no template
+  to compare with and is read by its own structure.
 * Repeated rows: each is a page; one page of a host has no template to compare with and
   is read by its own structure.
 * Broken markup: end tags without a start are ignored, open elements end with their parent.
@@ -61,7 +64,10 @@ CLOSES = {  # a start tag ends open elements of these kinds, up to the nearest o
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}),
 }
+# Pages of different content that a host must have for texts on all of them to be its
+# template's, and the share of its text that they may make up; the same inside an article.
 LEAST_PAGES, PAGES_IN_ARTICLE = 5, 20
+MOST_SHARE, SHARE_IN_ARTICLE = 0.9, 0.5
 
 
 class Element(NamedTuple):
@@ -165,6 +171,13 @@ def token(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
+def content(blocks: list[Block]) -> list[Block]:
+    """The blocks of a page's article, or if it has none, those that are not beside it
+    nor links mostly."""
+    held = [b for b in blocks if not b.out]
+    return [b for b in held if b.root] or [b for b in held if 2 * b.linked <= len(b.text)]
+
+
 def host_of(url: Column) -> Column:
     """The host of an address in lower case, empty if there is none."""
     host = F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))),
@@ -175,8 +188,8 @@ def host_of(url: Column) -> Column:
 def occurrences(pages: DataFrame) -> DataFrame:
     """(host, token, kind, vector, n_pages, n_chars, n_linked, root, beside) of every token.
 
-    kind 0 is the page itself, 1 a path, 2 a text at its path.  A task adds up what it has
-    read of a host's token before it sends it."""
+    kind 0 is the page itself, 1 a path, 2 a text at its path, 3 all that a page's article
+    says.  A task adds up what it has read of a host's token before it sends it."""
     names = ["host", "token", "kind", "vector", "n_pages", "n_chars", "n_linked", "root", "beside"]
     types = [pa.string(), pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.bool_(), pa.bool_()]
 
@@ -192,8 +205,13 @@ def occurrences(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                         batch.column(2)):
-                seen: dict[tuple, list] = {(host, 0, 0): [1, 0, 0, False, False]}
-                for block in blocks_of(html.as_py()):
+                blocks = blocks_of(html.as_py())
+                says = content(blocks)
+                seen: dict[tuple, list] = {
+                    (host, 0, 0): [1, 0, 0, False, False],
+                    (host, token(*(b.text for b in says)), 3):
+                        [1, 0, 0, any(b.root for b in says), False]}
+                for block in blocks:
                     for key in ((host, token(block.path), 1),
                                 (host, token(block.path, block.text), 2)):
                         row = seen.setdefault(key, [0, 0, 0, block.root, block.out])
@@ -226,20 +244,37 @@ def templates(seen: DataFrame) -> DataFrame:
 
     A class is a set of tokens with one vector.  A fixed text must share its class with a
     path, so that it comes with the template's structure, and be on every page of a host
-    with enough of them (more of them inside an article).  A page has few such texts and
-    paths, so the lists are short."""
-    hosts = seen.filter("kind = 0").select("host", F.col("n_pages").alias("all_pages"))
+    with enough pages of different content (more of them inside an article).  If such
+    texts make up most of what the host's pages say, these are copies of one another with
+    small changes, and the texts stay.  A page has few such texts and paths, so the lists
+    are short."""
+    hosts = seen.filter("kind IN (0, 3)").groupBy("host").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("n_pages"))).alias("all_pages"),
+        F.count_if(F.expr("kind = 3")).alias("contents"),
+        F.count_if(F.expr("kind = 3 AND root")).alias("articles"))
+    in_article = F.expr("IF(root, n_chars, 0)")
+    outside = F.expr("IF(NOT root AND 2 * n_linked <= n_chars, n_chars, 0)")
     slots = seen.filter("kind = 1 AND NOT beside").groupBy("host").agg(
         F.collect_list(F.when(F.col("root"), F.col("token"))).alias("article"),
         F.collect_list(F.when(~F.col("root") & F.expr("2 * n_linked <= n_chars"), F.col("token")))
-        .alias("other"))
-    nested = seen.filter("kind > 0").groupBy("host", "vector").agg(
+        .alias("other"), F.sum(in_article).alias("in_article"), F.sum(outside).alias("outside"))
+    nested = seen.filter("kind > 0 AND kind < 3").groupBy("host", "vector").agg(
         F.min("kind").alias("least"), F.max("kind").alias("most")).filter("least < most")
-    texts = seen.filter("kind = 2").join(hosts, "host").filter(
-        f"n_pages = all_pages AND all_pages >= IF(root, {PAGES_IN_ARTICLE}, {LEAST_PAGES})")
+    texts = seen.filter("kind = 2 AND NOT beside").join(hosts, "host").filter(
+        f"n_pages = all_pages AND IF(root, articles >= {PAGES_IN_ARTICLE},"
+        f" contents >= {LEAST_PAGES})")
     fixed = texts.join(nested.select("host", "vector"), ["host", "vector"], "left_semi").groupBy(
-        "host").agg(F.collect_list("token").alias("fixed"))
-    return hosts.select("host").join(slots, "host", "left").join(fixed, "host", "left")
+        "host").agg(
+        F.collect_list(F.when(F.col("root"), F.col("token"))).alias("fixed_in"),
+        F.collect_list(F.when(~F.col("root"), F.col("token"))).alias("fixed_out"),
+        F.sum(in_article).alias("fixed_in_chars"), F.sum(outside).alias("fixed_out_chars"))
+    none = F.expr("CAST(array() AS ARRAY<BIGINT>)")
+    few_in = F.expr(f"fixed_in_chars <= {SHARE_IN_ARTICLE} * in_article")
+    few_out = F.expr(f"fixed_out_chars <= {MOST_SHARE} * outside")
+    return hosts.select("host").join(slots, "host", "left").join(fixed, "host", "left").select(
+        "host", "article", "other",
+        F.concat(F.when(few_in, F.col("fixed_in")).otherwise(none),
+                 F.when(few_out, F.col("fixed_out")).otherwise(none)).alias("fixed"))
 
 
 def main_blocks(html: str | None, article: set[int], other: set[int], fixed: set[int]) -> list[str]:
@@ -250,6 +285,18 @@ def main_blocks(html: str | None, article: set[int], other: set[int], fixed: set
     return [b.text for path, b in held if path in slots and token(b.path, b.text) not in fixed]
 
 
+def alone(html: str | None) -> list[str]:
+    """A page's article by its own structure, as of a host with this one page."""
+    held = [b for b in blocks_of(html) if not b.out]
+    sums: dict[str, list[int]] = {}
+    for b in held:
+        row = sums.setdefault(b.path, [0, 0])
+        row[0] += len(b.text)
+        row[1] += b.linked
+    return [b.text for b in held if b.root] or [
+        b.text for b in held if 2 * sums[b.path][1] <= sums[b.path][0]]
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url",
             html: str = "html") -> DataFrame:
     """(key, url, host, blocks) of every page."""
@@ -257,14 +304,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url",
         F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"),
         F.coalesce(F.col(key).cast("string"), F.xxhash64(html).cast("string")).alias("row"),
         F.col(html).alias("html"))
-    known = stored(templates(stored(occurrences(rows), "page-tokens")), "page-templates")
+    hosted = rows.filter("host <> ''")
+    known = stored(templates(stored(occurrences(hosted), "page-tokens")), "page-templates")
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = (batch.column(k).to_pylist() for k in (4, 5, 6))
-            texts = [main_blocks(value.as_py(), *(set(part or ()) for part in parts))
-                     for value, *parts in zip(batch.column(3), *lists)]
+            texts = [main_blocks(value.as_py(), *(set(part or ()) for part in parts)) if host
+                     else alone(value.as_py())
+                     for host, value, *parts in zip(batch.column(2).to_pylist(), batch.column(3),
+                                                    *lists)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2),
                  pa.array(texts, pa.list_(pa.string()))], ["key", "url", "host", "blocks"])

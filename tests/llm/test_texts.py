@@ -206,3 +206,26 @@ def test_pages_query(spark):
         assert r["n_chars"] == len(r["text"])
         assert "<article>" not in html[r["page_id"]] or r["text"]
         assert "&" not in re.sub(r"&&&", "", r["text"]) or "&amp;" in html[r["page_id"]]
+
+
+def test_copies_of_an_article_are_not_its_template(spark):
+    inside = "<body><article><h1>One</h1><p>Two words</p></article></body>"
+    bare = "<body><div><h1>One</h1><p>Two words</p></div></body>"
+    rows, wanted = [], {}
+    for n in (19, 20, 1000):
+        for host, page in (("in", inside), ("bare", bare)):
+            for url in (f"http://{host}{n}.example/?q=", None, "no/host/"):
+                for k in range(n):
+                    wanted[len(rows)] = ["One", "Two words"]
+                    rows.append((len(rows), url and f"{url}{k}", page))
+    # Copies with a small change: the text that they share is theirs.
+    long = "<body><article><h1>" + "shared words " * 9 + "</h1><p>Seen {0} times</p></article></body>"
+    for k in range(40):
+        rows.append((len(rows), f"http://near.example/{k}", long.format(k)))
+        wanted[len(rows) - 1] = [("shared words " * 9).strip(), f"Seen {k} times"]
+    # Different articles that share a small text.
+    other = "<body><article><h1>Word" + " word{0}" * 9 + "</h1><p>Share it</p></article></body>"
+    for k in range(40):
+        rows.append((len(rows), f"http://differ.example/{k}", other.format(k)))
+        wanted[len(rows) - 1] = ["Word" + f" word{k}" * 9]
+    assert extracted(spark, rows) == wanted
