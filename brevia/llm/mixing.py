@@ -2,14 +2,17 @@
 
 A classifier fitted on the labelled table gives every document its chances to belong to
 each domain.  A document adds tokens to a domain by its chance for it.  Projected gradient
-descent finds a rate for every document, none below zero, so that the domains' expected
-tokens come as close as can be, in least squares, to their target weights' share of the
-total.  A rate of 1.3 means one copy of the document and, for three documents in ten, a
+descent finds a rate for every document, from zero to MOST_COPIES, so that the domains'
+expected tokens come as close as can be, in least squares, to what their target weights
+ask for.  The size of the mix follows the domain with the largest target weight, which is
+kept whole; scarcer domains are repeated, up to MOST_COPIES times their tokens, and fall
+short of their targets if that is not enough.  A rate of 1.3 means one copy of the document and, for three documents in ten, a
 second one.  Only DataFrame functions and Spark ML are used.
 
-Chances are rounded to thousandths.  The gradient of a rate depends on the chances alone,
-so documents with equal chances share a rate and the descent runs over the distinct
-chances, whose number does not grow with the documents.
+For the rates, chances are rounded to thousandths.  The gradient of a rate depends on the
+chances alone, so documents with equal chances share a rate and the descent runs over the
+distinct chances, whose number does not grow with the documents.  What a domain has in
+tokens is summed up from the unrounded chances, so that a rare domain is not rounded away.
 
 * Null or empty text: no tokens, a rate as its chances give.
 * Null labels: the last domain.  No labels at all: all documents in one domain, rate 1.
@@ -34,8 +37,10 @@ from .features import SAMPLE_ROWS, hashed, labelled_sample, words_of
 # Domains by expressions over the labels, and the share of tokens each should have.
 DOMAINS = {"toxic": "toxic = 1", "low": "quality = 0", "clean": "true"}
 TARGETS = {"toxic": 0.02, "low": 0.06, "clean": 0.92}
-# The mix may take this many times the tokens that the scarcest domain allows once.
+# The mix takes this many times the tokens of the domain with the largest target.
 REPEATS = 1.1
+# No document has a higher rate than this, and no domain is asked for more of its tokens.
+MOST_COPIES = 4.0
 
 
 class Membership(NamedTuple):
@@ -65,28 +70,30 @@ def fit_membership(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
 
 
 def chances(docs: DataFrame, membership: Membership, keep: list[Column], text: str) -> DataFrame:
-    """``keep``, n_tokens and the chance of each domain, in thousandths."""
+    """``keep``, n_tokens and the chance of each domain, in thousandths and unrounded."""
     n_tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     n = len(membership.names)
     if membership.model is None:
         one = [1000 * (place == membership.only) for place in range(n)]
         return docs.select(*keep, n_tokens.alias("n_tokens"),
-                           *(F.lit(v).alias(f"m_{d}") for v, d in zip(one, membership.names)))
+                           *(F.lit(v).alias(f"m_{d}") for v, d in zip(one, membership.names)),
+                           *(F.lit(v / 1000).alias(f"c_{d}") for v, d in zip(one, membership.names)))
     rows = docs.select(*keep, n_tokens.alias("n_tokens"), words_of(F.col(text)).alias("mix_tokens"))
     model = membership.model.copy().setFeaturesCol("mix_features").setProbabilityCol("mix_chances")
     model = model.setRawPredictionCol("mix_raw").setPredictionCol("mix_domain")
     scored = model.transform(hashed("mix_tokens", "mix_features").transform(rows))
     share = vector_to_array("mix_chances")
     seen = membership.model.numClasses
-    parts = [F.round(share[place] * 1000).cast("int") if place < seen else F.lit(0)
-             for place in range(n)]
+    whole = [share[place] if place < seen else F.lit(0.0) for place in range(n)]
+    parts = [F.round(part * 1000).cast("int") for part in whole]
     return scored.select(*(F.col(f"`{c}`") for c in rows.columns if c != "mix_tokens"),
-                         *(p.alias(f"m_{d}") for p, d in zip(parts, membership.names)))
+                         *(p.alias(f"m_{d}") for p, d in zip(parts, membership.names)),
+                         *(p.alias(f"c_{d}") for p, d in zip(whole, membership.names)))
 
 
 def rate(names: tuple[str, ...], steps: list[list[float]]) -> Column:
     """The rate after the descent's steps, from 1 on: each takes off the step's gradient
-    and stops at zero."""
+    and stops at zero and at MOST_COPIES."""
     if not steps:
         return F.lit(1.0)
     moves = F.array(*(F.array(*map(F.lit, step)) for step in steps))
@@ -94,38 +101,50 @@ def rate(names: tuple[str, ...], steps: list[list[float]]) -> Column:
     def move(now: Column, step: Column) -> Column:
         for place, name in enumerate(names):
             now = now - step[place] * F.col(f"m_{name}") / 1000
-        return F.greatest(F.lit(0.0), now)
+        return F.least(F.lit(MOST_COPIES), F.greatest(F.lit(0.0), now))
 
     return F.aggregate(moves, F.lit(1.0), move)
 
 
 def fit_rates(members: DataFrame, names: tuple[str, ...], targets: dict[str, float],
-              repeats: float = REPEATS, rounds: int = 60, close: float = 1e-4) -> list[list[float]]:
+              repeats: float = REPEATS, rounds: int = 500, close: float = 1e-4) -> list[list[float]]:
     """The steps of the descent.  Each round sums every domain's expected tokens over the
-    distinct chances; the sums, one number for each domain, are all the driver sees."""
+    distinct chances; the sums, one number for each domain, are all the driver sees.
+
+    It ends when every domain is within ``close`` of the whole mix's tokens of what is
+    wanted, or of where the descent leads if the bounds on rates allow no more; a descent
+    that has not come to this after ``rounds`` is an error."""
+    own = [F.col(f"c_{d}") if f"c_{d}" in members.columns else F.col(f"m_{d}") / 1000 for d in names]
     kinds = stored(members.groupBy(*(f"m_{d}" for d in names)).agg(
-        F.sum("n_tokens").alias("n_tokens")), "mixing-kinds")
+        *(F.sum(F.col("n_tokens") * c).alias(f"t_{d}") for d, c in zip(names, own))), "mixing-kinds")
 
     def totals(steps: list[list[float]]) -> list[float]:
-        weight = rate(names, steps) * F.col("n_tokens")
-        row = kinds.agg(*(F.sum(weight * F.col(f"m_{d}") / 1000) for d in names)).first()
+        weight = rate(names, steps)
+        row = kinds.agg(*(F.sum(weight * F.col(f"t_{d}")) for d in names)).first()
         return [v or 0.0 for v in row]
 
     have = totals([])
-    reach = [h / targets[d] for h, d in zip(have, names) if h and targets[d]]
-    if not reach:
+    there = [(targets[d], h) for h, d in zip(have, names) if h and targets[d]]
+    if not there:
         return []
-    wanted = [repeats * min(reach) * targets[d] for d in names]
+    # The domain to be kept whole; of equal targets, that with the most tokens.
+    target, most = max(there)
+    wanted = [min(repeats * most / target * targets[d], MOST_COPIES * h)
+              for h, d in zip(have, names)]
+    bound = close * sum(wanted)
     steps: list[list[float]] = []
-    now = have
+    now, moved = have, 0.0
     for _ in range(rounds):
+        if max(abs(n - w) for n, w in zip(now, wanted)) <= bound:
+            return steps
         # Divided by its tokens, a domain's gap is the step that would close it alone.
-        gaps = [(n - w) / h if h else 0.0 for n, w, h in zip(now, wanted, have)]
-        if max(abs(n - w) for n, w in zip(now, wanted)) <= close * sum(wanted):
-            break
-        steps.append(gaps)
-        now = totals(steps)
-    return steps
+        steps.append([(n - w) / h if h else 0.0 for n, w, h in zip(now, wanted, have)])
+        before, now = now, totals(steps)
+        last, moved = moved, max(abs(n - b) for n, b in zip(now, before))
+        # Moves shrink by a factor, so what is left to go is their geometric sum.
+        if moved < last and moved * moved / (last - moved) <= bound or not moved:
+            return steps
+    raise ArithmeticError(f"the rates have not settled in {rounds} rounds: {now} for {wanted}")
 
 
 def copies(of: Column, key: Column) -> Column:

@@ -153,6 +153,30 @@ def test_rates_equal_plain_descent(spark):
     assert sums[0] / sum(sums) == pytest.approx(0.2, abs=1e-3)
 
 
+def test_clean_documents_stay_when_the_others_are_scarce(spark):
+    for n_toxic in (0, 1, 10, 100):  # of 10,000: up to 1 %
+        rows = [(100, 900, 60, 40)] * n_toxic + [(100, 0, 5, 995)] * (10_000 - n_toxic)
+        members = spark.createDataFrame(rows, "n_tokens BIGINT, m_toxic INT, m_low INT, m_clean INT")
+        names = ("toxic", "low", "clean")
+        steps = mixing.fit_rates(members, names, mixing.TARGETS)
+        rates = {r[0]: r[1] for r in members.select("m_toxic", mixing.rate(names, steps)).collect()}
+        assert 1.0 <= rates[0] <= 1.2
+        assert n_toxic == 0 or 1.0 <= rates[900] <= mixing.MOST_COPIES
+
+
+def test_rare_domains_are_summed_from_unrounded_chances(spark):
+    members = spark.createDataFrame(
+        [(100, 0, 1000, 0.0004, 0.9996)] * 1000, "n_tokens BIGINT, m_a INT, m_b INT, c_a DOUBLE, c_b DOUBLE")
+    steps = mixing.fit_rates(members, ("a", "b"), {"a": 0.5, "b": 0.5}, repeats=1.0)
+    assert steps and steps[0][0] < 0  # domain a has 40 tokens, and more are wanted
+
+
+def test_descent_that_does_not_settle_is_an_error(spark):
+    members = spark.createDataFrame([(10, 900, 100), (30, 200, 800)], "n_tokens BIGINT, m_a INT, m_b INT")
+    with pytest.raises(ArithmeticError):
+        mixing.fit_rates(members, ("a", "b"), {"a": 0.2, "b": 0.8}, rounds=1)
+
+
 def test_mixing_odd_rows(spark, make_docs, odd_rows):
     labels = spark.createDataFrame([(900, None, None), (903, 1, 0)],
                                    "doc_id BIGINT, quality INT, toxic INT")
