@@ -39,13 +39,19 @@ from .common import stored, table
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+NAMES = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 NAME_PARTS = re.compile(r"[a-z]+")
-RAW = frozenset("script style textarea noscript template iframe xmp svg math".split())
+RAW = frozenset(
+    "script style textarea noscript template iframe xmp svg annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt"
-    " ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+    " ruby s samp small span strike strong sub sup time tt u var wbr br img math maction menclose"
+    " merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace"
+    " msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+# Block elements that hold a text; a part of their name says what it is about.
+HOLDS_TEXT = frozenset(
+    "p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th caption figcaption".split())
 NOT_TEXT = frozenset(
     "head title nav header footer aside form button select option menu dialog object canvas"
     " audio video fieldset input".split()) | RAW
@@ -75,6 +81,8 @@ class Element(NamedTuple):
     path: str
     out: bool  # beside the article
     root: bool  # in the article's element
+    never: bool = False  # beside it by a tag or a whole name
+    within: tuple[int, ...] = ()  # the elements around it that parts of names put beside
 
 
 class Block(NamedTuple):
@@ -85,23 +93,48 @@ class Block(NamedTuple):
     root: bool
 
 
-def named(attributes: str) -> set[str]:
-    """The parts of an element's class, id and role."""
-    return {part for value in NAMES.findall(attributes)
-            for part in NAME_PARTS.findall(value.lower())} if attributes else set()
+def named(attributes: str) -> list[tuple[str, str]]:
+    """(attribute, name in lower case) of an element's class, id, role and itemprop."""
+    return [(kind.lower(), name) for kind, value in NAMES.findall(attributes)
+            for name in value.strip("\"'").lower().split()] if attributes else []
 
 
-def blocks_of(html: str | None) -> list[Block]:
-    """A page's blocks of text in order, white space and references resolved."""
+def put_beside(tag: str, names: list[tuple[str, str]], root: bool) -> tuple[bool, bool]:
+    """Whether an element's names put it beside the article: whole ones, parts of them.
+
+    Inline elements in an article and the body never are.  Parts count for elements that
+    hold blocks only, and parts of an id, which is often an anchor, for those outside an
+    article and not for sections."""
+    if tag in ("html", "body") or tag in INLINE and root:
+        return False, False
+    whole = any(name in NOT_ARTICLE for _, name in names)
+    if whole or tag in INLINE or tag in HOLDS_TEXT:
+        return whole, False
+    return False, any(not NOT_ARTICLE.isdisjoint(NAME_PARTS.findall(name)) for kind, name in names
+                      if kind != "id" or not root and tag != "section")
+
+
+def blocks_of(html: str | None, passed: frozenset[int] = frozenset()) -> list[Block]:
+    """A page's blocks of text in order, white space and references resolved.
+
+    If a page has no article and nearly all of its text is in an element that a part of
+    its name would put beside, that name is passed over: it is read again without."""
     html = html or ""
     stack = [Element("", "", False, False)]
     out: list[Block] = []
     parts: list[tuple[str, bool, bool]] = []
     links = at = 0
     begun = False  # whether an article has been met
+    chars, sums = 0, {}  # of text that may be the article's, on the page and by element
 
     def text(begin: int, end: int) -> None:
+        nonlocal chars
         if end > begin:
+            if not links and not stack[-1].never:
+                size = len(html[begin:end].strip())
+                chars += size
+                for start in stack[-1].within:
+                    sums[start] = sums.get(start, 0) + size
             parts.append((html[begin:end], links > 0, stack[-1].out))
 
     def flush() -> None:
@@ -134,6 +167,9 @@ def blocks_of(html: str | None) -> list[Block]:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>|\Z", re.I).search(html, at)
+            if tag == "xmp":
+                parts.append((references.escape(html[at:end.start()]), links > 0, stack[-1].out))
+                flush()
             at = end.end()
             continue
         links += tag == "a"
@@ -149,10 +185,14 @@ def blocks_of(html: str | None) -> list[Block]:
                     break
         parent = stack[-1]
         names = named(found[3])
-        beside = tag in NOT_TEXT or bool(names & NOT_ARTICLE)
-        root = not beside and (tag in ROOTS or bool(names & ROOT_NAMES))
-        if tag == "header" and parent.root and not names & NOT_ARTICLE:
-            beside = False  # an article's own heading
+        whole, part = put_beside(tag, names, parent.root)
+        part = part and found.start() not in passed
+        by_tag = tag in NOT_TEXT
+        if tag == "header" and parent.root:
+            by_tag = False  # an article's own heading
+        beside = by_tag or whole or part
+        root = not beside and (tag in ROOTS or any(
+            not ROOT_NAMES.isdisjoint(NAME_PARTS.findall(name)) for _, name in names))
         if tag in INLINE:
             label = parent.path
         else:
@@ -161,9 +201,15 @@ def blocks_of(html: str | None) -> list[Block]:
         astray = parent.out and root and tag in ROOTS and not begun
         out_here = beside or parent.out and not astray
         begun = begun or root and not out_here
-        stack.append(Element(tag, label, out_here, parent.root or root))
+        stack.append(Element(tag, label, out_here, parent.root or root,
+                             (parent.never and not astray) or by_tag or whole,
+                             parent.within + (found.start(),) * part))
     text(at, len(html))
     flush()
+    if not any(b.root and not b.out for b in out):
+        around = frozenset(start for start, size in sums.items() if size >= MOST_SHARE * chars > 0)
+        if around:
+            return blocks_of(html, passed | around)
     return out
 
 

@@ -229,3 +229,16 @@ def test_copies_of_an_article_are_not_its_template(spark):
         rows.append((len(rows), f"http://differ.example/{k}", other.format(k)))
         wanted[len(rows) - 1] = ["Word" + f" word{k}" * 9]
     assert extracted(spark, rows) == wanted
+
+
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<div>{}</div>"])
+def test_names_that_hold_such_a_word_lose_no_text(around):
+    text = ("<h2 id='related-work'>Related work</h2><p id='notice-period'>A notice</p>"
+            "<section id='search-algorithms'><p>Searching</p></section>"
+            "<p>The <span class='share-price'>price</span> is <em class='ad-hoc'>new</em>"
+            " <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><xmp><b>&amp;</xmp>")
+    wanted = ["Related work", "A notice", "Searching", "The price is new x=2", "<b>&amp;"]
+    for page in ("<body class='has-sidebar'>{}</body>", "<body><div id='page' class='search-on'>{}</div>",
+                 "<body><div class='ad'>Buy</div><div class='cookie-notice'>Yes</div>{}</body>"):
+        html = page.format(around.format(text))
+        assert [b.text for b in pages.blocks_of(html) if not b.out] == wanted
