@@ -1,11 +1,8 @@
-"""Main text of web pages by template deduction from equivalence classes.
-
-Pages of a host are made from a template.  Its tokens (tags with their path, fixed texts)
-occur in every page as often as each other, so tokens with one vector of occurrences over
-the host's pages form an equivalence class.  Classes that are frequent and whose paths
-nest make the template; what varies between their tokens are slots.  The slots of the
-article are extracted, slots of menus, adverts and the like are not, and neither are
-texts that belong to the template itself.  Copies of one article say nothing about the
+"""Main text of web pages by a rule of tags and names and a filter of texts on all pages.
+
+Tags and names say what is beside the article, such as menus and adverts.  Texts that are
+on every page of a host as often as some path belong to its template and go too; no
+template is deduced from the classes of such tokens.  Copies of one article say nothing about the
 template, so pages count by what their articles say, and a text inside an article is the
 template's only where most of what the host's articles say differs.
 
