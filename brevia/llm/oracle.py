@@ -91,8 +91,48 @@ def jaccard(size: int = 3, num: int = 9, den: int = 10) -> str:
     )
 
 
+def periodic_runs() -> str:
+    """CRC-32 is folded byte by byte and bit by bit.  Words that equal those q words later
+    for at least five words in turn are found by their five-word windows."""
+    bit = "lambda c, k: xor(c >> 1, 3988292384 * (c & 1))"
+    byte = f"lambda c, x: list_reduce(list_prepend(xor(c, x), [0,0,0,0,0,0,0,0]::BIGINT[]), {bit})"
+    digits = "list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), {byte}), 4294967295)"
+    return (
+        f"WITH texts AS (SELECT doc_id, {WORDS} AS w, {crc} AS h FROM documents),"
+        " planned AS (SELECT *, len(w) AS n, h // 10 AS g FROM texts),"
+        " placed AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM planned),"
+        " cycles AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM placed),"
+        " docs AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN"
+        " list_transform(range(n), lambda i: w[1 + CASE WHEN i >= a THEN a + (i - a) % p ELSE i END])"
+        " ELSE w END AS w FROM cycles),"
+        " starts AS (SELECT doc_id, n, w, unnest(range(n - 4)) AS i FROM docs WHERE n >= 6),"
+        " windows AS (SELECT doc_id, n, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS five FROM starts),"
+        " equal AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM windows x JOIN windows y"
+        " ON x.doc_id = y.doc_id AND x.five = y.five AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),"
+        " turns AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS turn FROM equal),"
+        " stretches AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM turns"
+        " GROUP BY doc_id, q, turn),"
+        " runs AS (SELECT doc_id, start, length, min(q) AS period FROM stretches"
+        " WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),"
+        " lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period,"
+        " chr(10)), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id),"
+        " longest AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id"
+        " ORDER BY length DESC, start, period) = 1),"
+        " gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS spot FROM runs),"
+        " spots AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS spot FROM docs),"
+        " kept AS (SELECT s.doc_id, string_agg(word, ' ' ORDER BY s.spot) AS words FROM spots s"
+        " LEFT JOIN gone g ON s.doc_id = g.doc_id AND s.spot = g.spot WHERE g.spot IS NULL GROUP BY s.doc_id)"
+        " SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, length, period,"
+        " 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256,"
+        " sha256(coalesce(words, '')) AS collapsed_sha256, CAST(n AS BIGINT) AS n_words FROM docs"
+        " LEFT JOIN lines USING (doc_id) LEFT JOIN longest USING (doc_id) LEFT JOIN kept USING (doc_id)"
+    )
+
+
 ORACLE: dict[str, str] = {
     "op3_phrase_automata": passages(),
     "op5_secret_ledger": secrets(),
     "op7_parity_sketch_join": jaccard(),
+    "op11_dyadic_square_catching": periodic_runs(),
 }

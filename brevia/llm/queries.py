@@ -9,6 +9,7 @@ from .mixing import q_mixing
 from .oracle import ORACLE
 from .pages import q_pages
 from .passages import q_passages
+from .periodicity import q_periodicity
 from .quality import q_quality
 from .secrets import q_secrets
 from .sharding import q_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pigeonhole_edit_match": q_decontamination,
     "op9_virtual_slots": q_sharding,
     "op10_weak_supervision": q_quality,
+    "op11_dyadic_square_catching": q_periodicity,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
