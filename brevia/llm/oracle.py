@@ -130,9 +130,34 @@ def periodic_runs() -> str:
     )
 
 
+def search(top: int = 10, slope: int = 75) -> str:
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    listed = (f"unnest(regexp_extract_all(translate(text, '{letters.upper()}', '{letters}'),"
+              f" '{pattern}')) AS term")
+    return (
+        f"WITH words AS (SELECT doc_id, {listed} FROM documents WHERE text IS NOT NULL),"
+        " counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),"
+        " sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),"
+        " corpus AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes),"
+        f" wanted AS (SELECT item_id, {listed} FROM benchmark WHERE text IS NOT NULL),"
+        " asked AS (SELECT item_id, term, count(*) AS times FROM wanted GROUP BY ALL),"
+        " weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * count(*) + 1)))"
+        " AS BIGINT) AS w FROM counts, corpus GROUP BY term, docs),"
+        f" lengths AS (SELECT doc_id, {100 - slope} + ({slope} * n * docs) // terms AS m FROM sizes, corpus),"
+        " scored AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))"
+        " AS BIGINT) AS score FROM asked JOIN weights USING (term) JOIN counts USING (term)"
+        " JOIN lengths USING (doc_id) GROUP BY ALL)"
+        " SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)"
+        " AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0"
+        f" QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {top}"
+    )
+
+
 ORACLE: dict[str, str] = {
     "op3_phrase_automata": passages(),
     "op5_secret_ledger": secrets(),
     "op7_parity_sketch_join": jaccard(),
     "op11_dyadic_square_catching": periodic_runs(),
+    "op12_bag_search": search(),
 }

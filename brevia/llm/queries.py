@@ -11,6 +11,7 @@ from .pages import q_pages
 from .passages import q_passages
 from .periodicity import q_periodicity
 from .quality import q_quality
+from .search import q_search
 from .secrets import q_secrets
 from .sharding import q_sharding
 from .toxicity import q_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_virtual_slots": q_sharding,
     "op10_weak_supervision": q_quality,
     "op11_dyadic_square_catching": q_periodicity,
+    "op12_bag_search": q_search,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
