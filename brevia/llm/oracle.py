@@ -154,10 +154,21 @@ def search(top: int = 10, slope: int = 75) -> str:
     )
 
 
+def exact() -> str:
+    return (
+        r"WITH texts AS (SELECT doc_id, coalesce(length(text), 0) AS n, sha256(regexp_replace("
+        r"coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents),"
+        " ranked AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)"
+        " AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM texts)"
+        " SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM ranked"
+    )
+
+
 ORACLE: dict[str, str] = {
     "op3_phrase_automata": passages(),
     "op5_secret_ledger": secrets(),
     "op7_parity_sketch_join": jaccard(),
     "op11_dyadic_square_catching": periodic_runs(),
     "op12_bag_search": search(),
+    "op13_streaming_exact_dedup": exact(),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import q_decontamination
+from .exact import q_exact
 from .jaccard import q_jaccard
 from .language import q_language
 from .mixing import q_mixing
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_weak_supervision": q_quality,
     "op11_dyadic_square_catching": q_periodicity,
     "op12_bag_search": q_search,
+    "op13_streaming_exact_dedup": q_exact,
 }
 
 __all__ = ["ORACLE", "QUERIES"]
