@@ -13,7 +13,10 @@ from ..functions.clean import (
 )
 from ..functions.emoji_names import EmojiNames, default_names
 from ..functions.patterns import CLEAN_SUFFIX
-from ..sources.readers import read_posts, require_text_column
+from ..sources.checked_csv import (
+    Counts, lossless_schema, quarantine_broken, read_records, read_strings,
+)
+from ..sources.readers import detect_format, read_posts, require_text_column
 from ..sources.writers import write_parquet
 
 
@@ -52,12 +55,24 @@ def clean_posts(
 def clean_file(
     spark: SparkSession, source: str, target: str, text_col: str = "text",
     mode: str = "errorifexists", schema: T.StructType | str | None = None, multi_line: bool = True,
-) -> None:
+    quarantine: str | None = None,
+) -> Counts | None:
     """Read CSV or Parquet, clean one column, write Parquet.
 
-    All columns stay as they are, in the order of the rows.  Without a ``schema`` the
-    types of a CSV file are found by a first scan.
+    All columns stay as they are, in the order of the rows.  Without a ``schema`` a first
+    scan finds types of a CSV file that give back every value's text.  CSV rows that do not
+    fit the table end the job, or are written to ``quarantine`` if that is given; then
+    the numbers of good and broken rows are returned.
     """
-    posts = read_posts(spark, source, schema=schema, multi_line=multi_line,
-                       infer_schema=schema is None)
+    csv = detect_format(source) == "csv"
+    if csv and schema is None:
+        strings = read_strings(spark, source, multi_line, lenient=quarantine is not None)
+        schema = lossless_schema(require_text_column(strings, text_col), keep=(text_col,))
+    counts = None
+    if csv and quarantine is not None:
+        records = read_records(spark, source, schema, multi_line)
+        posts, counts = quarantine_broken(records, quarantine, mode)
+    else:
+        posts = read_posts(spark, source, schema=schema, multi_line=multi_line)
     write_parquet(clean_posts(require_text_column(posts, text_col), text_col), target, mode=mode)
+    return counts

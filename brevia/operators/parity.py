@@ -1,4 +1,4 @@
-"""Comparison of two outputs row by row, matched on a key."""
+"""Comparison of two outputs row by row, matched on a key or by their places."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mismatch_preview
+from ..sources.positions import INDEX, with_row_index
 
 _DIFFERS = "n_left <> n_right"
 
@@ -81,3 +82,30 @@ def parity_mismatches(
              text("n_right", "n_left").alias("right_text"))
         .orderBy("id")
     )
+
+
+def parity_by_position(left: DataFrame, right: DataFrame, value_col: str,
+                       fmt: str = "parquet") -> DataFrame:
+    """As :func:`parity_check` for two stored outputs without a key: their n-th rows, in the
+    order of files and of rows in a file, are compared.
+
+    Rows are counted first; outputs of unequal length are not read any further.
+    """
+    n_left, n_right = left.count(), right.count()
+    if n_left != n_right:
+        return left.sparkSession.createDataFrame(
+            [(n_left, n_right, False, abs(n_left - n_right))],
+            "n_left BIGINT, n_right BIGINT, all_match BOOLEAN, mismatch_count BIGINT")
+    return parity_check(*_by_position(left, right, value_col, fmt), value_col, INDEX)
+
+
+def position_mismatches(left: DataFrame, right: DataFrame, value_col: str, n: int = 3,
+                        fmt: str = "parquet") -> DataFrame:
+    """The first ``n`` places, from 0, at which stored outputs differ, with the beginning
+    of both values; a place that one output lacks counts as differing."""
+    found = parity_mismatches(*_by_position(left, right, value_col, fmt), value_col, n, INDEX)
+    return found.withColumnRenamed("id", INDEX)
+
+
+def _by_position(left: DataFrame, right: DataFrame, value_col: str, fmt: str) -> list[DataFrame]:
+    return [with_row_index([df], fmt)[0].select(INDEX, value_col) for df in (left, right)]

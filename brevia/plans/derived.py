@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import spread
+from ..sources.tables import read_table, save_bucketed
 
 # Emoji put into the posts, by hex digit; digits not listed get none.
 POST_EMOJIS = {
@@ -65,8 +66,18 @@ SPLIT = (
     " ELSE 'test' END"
 )
 LABEL = "CASE WHEN toxic = 1 THEN 0 WHEN quality = 1 THEN 2 ELSE 1 END"
-# Text of the documents marked as good, null for the others.
-GOOD_TEXT = "CASE WHEN quality = 1 THEN text END"
+# The whole text but for a few documents: none for one in sixteen, an empty one for another.
+SOME_TEXT = f"CASE {digit(8)} WHEN '0' THEN NULL WHEN '1' THEN '' ELSE text END"
+# A document's line of a CSV file; some lines have a field too many, some one too few, and
+# some a number that is none.
+CSV_LINE = (
+    f"concat(CAST(doc_id AS STRING), ',', CASE WHEN {digit(9)} = '2' THEN 'x' ELSE '' END,"
+    f" coalesce(CAST(n_chars AS STRING), ''),"
+    f" CASE WHEN {digit(9)} = '1' THEN '' ELSE concat(',', coalesce(lang, '')) END,"
+    " ',\"', replace(coalesce(text, ''), '\"', '\"\"'), '\"',"
+    f" CASE WHEN {digit(9)} = '0' THEN ',more' ELSE '' END)"
+)
+LINE_IS_BROKEN = f"{digit(9)} IN ('0', '1', '2')"
 # Ids of which some are missing, for the comparisons by key.
 SOME_IDS = f"CASE WHEN {digit(8).replace('doc_id', 'id')} = '0' THEN NULL ELSE id END"
 
@@ -111,6 +122,15 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr("id", f"{LABEL} AS label", "split", "text")
 
 
+def bucketed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As :func:`posts`, from a table of texts that is bucketed by id, with a folder for
+    each split: the join moves labels only, and readers of a split skip the others."""
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr(*POST_COLUMNS)
+    table = read_table(spark, save_bucketed(texts, "posts", "id", by="split"))
+    joined = table.join(labels(spark, sf_dir), "id", "left")
+    return joined.selectExpr("id", f"{LABEL} AS label", "split", "text")
+
+
 def with_label(spark: SparkSession, sf_dir: str, table: DataFrame) -> DataFrame:
     """``table`` (id, ...) with the class of each post."""
     joined = table.join(labels(spark, sf_dir), "id", "left")

@@ -8,7 +8,8 @@ from ..functions.patterns import (
 )
 from ..operators.tokens import BOS, EOS, MAX_LENGTH, PAD, SPECIAL_TOKENS, UNK
 from .derived import (
-    CTE_POSTS, CTE_TEXTS, EMOJI_TEXT, GOOD_TEXT, OTHER_EMOJI_NAMES, POST_EMOJI_NAMES, SCORES,
+    CSV_LINE, CTE_POSTS, CTE_TEXTS, EMOJI_TEXT, LINE_IS_BROKEN, OTHER_EMOJI_NAMES,
+    POST_EMOJI_NAMES, SCORES, SOME_TEXT,
     SOME_IDS,
 )
 from .queries import DIGITS, VOCABULARY_SIZE
@@ -188,6 +189,10 @@ def sample(n: int) -> str:
     )
 
 
+NUMBERED = (
+    f"{POSTS}, numbered AS (SELECT row_number() OVER (ORDER BY CASE split WHEN 'train' THEN 0"
+    " WHEN 'validation' THEN 1 ELSE 2 END, id) - 1 AS row_index, * FROM posts)"
+)
 OUTPUTS = (
     f"{TEXTS}, outputs AS (SELECT {SOME_IDS} AS id, {cleaned('text')} AS l,"
     f" lower({markup('text')}) AS r FROM texts), balance AS (SELECT id, v, sum(a) AS n_left,"
@@ -198,10 +203,23 @@ OUTPUTS = (
     " FROM balance WHERE n_left <> n_right GROUP BY id)"
 )
 
+BY_POSITION = OUTPUTS.replace(f"{SOME_IDS} AS id", "row_number() OVER (ORDER BY id) - 1 AS id")
+
 ORACLE: dict[str, str] = {
     "load_splits": f"{POSTS} SELECT id, label, split, text FROM posts",
     "csv_round_trip": f"{POSTS} SELECT id, label, text, {label_name()} AS label_name FROM posts",
-    "union_splits": f"{POSTS} SELECT id, label, text, split FROM posts",
+    "union_splits": f"{NUMBERED} SELECT id, label, text, split, row_index FROM numbered",
+    "head_in_file_order": (
+        f"{NUMBERED} SELECT row_index, id, label, split, text FROM numbered WHERE row_index < 5"
+    ),
+    "csv_broken_rows": (
+        f"WITH lines AS (SELECT *, {CSV_LINE} AS line, {LINE_IS_BROKEN} AS broken FROM documents),"
+        " counts AS (SELECT count(*) FILTER (NOT broken) AS n_good, count(*) FILTER (broken) AS n_broken"
+        " FROM lines), rows AS (SELECT doc_id AS id, n_chars, lang, coalesce(text, '') AS text,"
+        " CAST(NULL AS VARCHAR) AS broken_record FROM lines WHERE NOT broken UNION ALL"
+        " SELECT NULL, NULL, NULL, NULL, line FROM lines WHERE broken)"
+        " SELECT rows.*, n_good, n_broken FROM rows, counts"
+    ),
     "split_filter": f"{POSTS} SELECT id, label, split, text FROM posts WHERE split = 'train'",
     "label_names": f"{POSTS} SELECT id, label, split, {label_name()} AS label_name FROM posts",
     "clean_text": on_text(cleaned("text"), "text_cleaned"),
@@ -209,15 +227,13 @@ ORACLE: dict[str, str] = {
         f"SELECT *, lower({markup('text')}) AS text_cleaned FROM documents"
     ),
     "clean_nulls": (
-        f"WITH good AS (SELECT doc_id AS id, coalesce({GOOD_TEXT}, '') AS body"
-        " FROM documents LEFT JOIN labels USING (doc_id))"
-        f" SELECT id, lower({markup('body')}) AS body_cleaned FROM good"
+        f"WITH given AS (SELECT doc_id AS id, coalesce({SOME_TEXT}, '') AS body FROM documents)"
+        f" SELECT id, lower({markup('body')}) AS body_cleaned FROM given"
     ),
     "clean_csv": (
-        "WITH rows AS (SELECT doc_id, CASE WHEN quality = 0 THEN ''"
-        f" ELSE {GOOD_TEXT} END AS body, lang, n_chars, quality FROM documents LEFT JOIN labels"
-        " USING (doc_id)), known AS (SELECT *, coalesce(body, '') AS given FROM rows)"
-        " SELECT CAST(doc_id AS INTEGER) AS doc_id, body, lang, CAST(n_chars AS INTEGER) AS n_chars, quality,"
+        f"WITH rows AS (SELECT doc_id, {SOME_TEXT} AS body, lang, n_chars FROM documents),"
+        " known AS (SELECT *, coalesce(body, '') AS given FROM rows)"
+        " SELECT CAST(doc_id AS INTEGER) AS doc_id, body, lang, CAST(n_chars AS INTEGER) AS n_chars,"
         f" lower({markup('given')}) AS body_cleaned FROM known"
     ),
     "clean_stream": on_text(cleaned("text"), "text_cleaned"),
@@ -302,4 +318,12 @@ ORACLE: dict[str, str] = {
     "parity_mismatches": (
         f"{OUTPUTS} SELECT id, left_text, right_text FROM keys ORDER BY id NULLS FIRST LIMIT 3"
     ),
+    "parity_by_position": (
+        f"{BY_POSITION} SELECT CAST(count(*) AS BIGINT) AS n_left, CAST(count(*) AS BIGINT) AS n_right,"
+        " (SELECT count(*) FROM keys) = 0 AS all_match,"
+        " (SELECT count(*) FROM keys) AS mismatch_count FROM outputs"
+    ),
+    "position_mismatches": (
+        f"{BY_POSITION} SELECT id AS row_index, left_text, right_text FROM keys ORDER BY id LIMIT 3"
+    ),
 }

@@ -12,12 +12,14 @@ from ..functions.patterns import NOISE
 from ..operators import metrics, model, parity, profile, tokens
 from ..operators.cleaning import clean_file, clean_posts
 from ..operators.mapping import map_batches
-from ..sources.readers import load_splits, read_posts, union_splits
+from ..sources.checked_csv import RECORD, quarantine_broken, read_records
+from ..sources.positions import INDEX, load_numbered_splits
+from ..sources.readers import load_splits, read_posts
 from ..sources.writers import scratch_path, write_csv, write_parquet
 from ..streaming.cleaning import clean_stream
 from .derived import (
-    EMOJI_TEXT, GOOD_TEXT, SOME_IDS, SPLITS, documents, labels, post_labels, post_texts, posts,
-    with_label, with_scores,
+    CSV_LINE, EMOJI_TEXT, SOME_IDS, SOME_TEXT, SPLITS, bucketed_posts, documents, post_labels,
+    post_texts, posts, with_label, with_scores,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,10 +46,13 @@ def _as_text(column: str):
 
 # Sources and sinks -----------------------------------------------------------
 
-def stored_splits(spark: SparkSession, sf: str) -> dict[str, str]:
-    """Write the posts with one folder per split; the paths of the folders."""
-    path = scratch_path(spark, "posts")
-    write_parquet(posts(spark, sf), path, by_split=True)
+def stored_splits(spark: SparkSession, sf: str, in_order: bool = False) -> dict[str, str]:
+    """Write the posts with one folder per split; the paths of the folders.  If
+    ``in_order``, files and the rows in them follow the ids."""
+    path, table = scratch_path(spark, "posts"), bucketed_posts(spark, sf)
+    if in_order:
+        table = table.repartitionByRange("id").sortWithinPartitions("split", "id")
+    write_parquet(table, path, by_split=True)
     return {name: f"{path}/split={name}" for name in SPLITS}
 
 
@@ -64,9 +69,27 @@ def q_csv_round_trip(spark, sf):
     return read_posts(spark, path, schema=schema)
 
 
+def q_csv_broken_rows(spark, sf):
+    """Every document as a CSV row, some of them broken: the good rows and, from the
+    quarantine, the broken ones as they stand in the file."""
+    path, apart = scratch_path(spark, "lines"), scratch_path(spark, "broken")
+    documents(spark, sf).selectExpr(f"{CSV_LINE} AS line").write.text(path)
+    records = read_records(spark, path, "id BIGINT, n_chars BIGINT, lang STRING, text STRING", header=False)
+    good, counts = quarantine_broken(records, apart)
+    broken = read_posts(spark, apart, "parquet").select(RECORD)
+    return good.unionByName(broken, allowMissingColumns=True).select(
+        "id", "n_chars", "lang", "text", RECORD, F.lit(counts.good).cast("long").alias("n_good"),
+        F.lit(counts.broken).cast("long").alias("n_broken"))
+
+
 def q_union_splits(spark, sf):
-    return union_splits({n: read_posts(spark, path, "parquet")
-                         for n, path in stored_splits(spark, sf).items()})
+    """All splits, numbered in the order of splits, files and rows in a file."""
+    return load_numbered_splits(spark, stored_splits(spark, sf, in_order=True), "parquet")
+
+
+def q_head_in_file_order(spark, sf):
+    numbered = load_numbered_splits(spark, stored_splits(spark, sf, in_order=True), "parquet")
+    return numbered.filter(F.col(INDEX) < 5).select(INDEX, "id", "label", "split", "text")
 
 
 # Projections and text rules --------------------------------------------------
@@ -84,19 +107,15 @@ def q_clean_passthrough(spark, sf):
 def q_clean_csv(spark, sf):
     """The cleaning job from CSV to Parquet; every column keeps its type and values."""
     source, target = scratch_path(spark, "posts") + ".csv", scratch_path(spark, "cleaned") + ".parquet"
-    joined = documents(spark, sf).join(labels(spark, sf).withColumnRenamed("id", "doc_id"),
-                                       "doc_id", "left")
-    body = F.expr(f"CASE WHEN quality = 0 THEN '' ELSE {GOOD_TEXT} END")
-    write_csv(joined.select("doc_id", body.alias("body"), "lang", "n_chars", "quality"), source)
+    body = F.expr(SOME_TEXT).alias("body")
+    write_csv(documents(spark, sf).select("doc_id", body, "lang", "n_chars"), source)
     clean_file(spark, source, target, "body")
     return read_posts(spark, target)
 
 
 def q_clean_nulls(spark, sf):
-    joined = documents(spark, sf).join(labels(spark, sf).withColumnRenamed("id", "doc_id"),
-                                       "doc_id", "left")
-    good = joined.selectExpr("doc_id AS id", f"{GOOD_TEXT} AS body")
-    return clean_posts(good, "body").select("id", "body_cleaned")
+    some = documents(spark, sf).selectExpr("doc_id AS id", f"{SOME_TEXT} AS body")
+    return clean_posts(some, "body").select("id", "body_cleaned")
 
 
 def q_clean_stream(spark, sf):
@@ -212,6 +231,26 @@ def q_parity_check(spark, sf):
     return parity.parity_check(*_two_outputs(spark, sf), "text_cleaned")
 
 
+def _stored_outputs(spark, sf):
+    """Two outputs of the posts in the order of their ids, stored without the ids: the
+    cleaned posts, and the same without the emoji step."""
+    table = post_texts(spark, sf).repartitionByRange("id").sortWithinPartitions("id")
+    plain = F.lower(clean.replace_markup(F.col("text"))).alias("text_cleaned")
+    paths = []
+    for df in (clean_posts(table).select("text_cleaned"), table.select(plain)):
+        paths.append(scratch_path(spark, "output"))
+        write_parquet(df, paths[-1])
+    return [read_posts(spark, path, "parquet") for path in paths]
+
+
+def q_parity_by_position(spark, sf):
+    return parity.parity_by_position(*_stored_outputs(spark, sf), "text_cleaned")
+
+
+def q_position_mismatches(spark, sf):
+    return parity.position_mismatches(*_stored_outputs(spark, sf), "text_cleaned")
+
+
 def q_parity_mismatches(spark, sf):
     return parity.parity_mismatches(*_two_outputs(spark, sf), "text_cleaned")
 
@@ -219,7 +258,7 @@ def q_parity_mismatches(spark, sf):
 # Model -----------------------------------------------------------------------
 
 def q_train_predict(spark, sf):
-    table = posts(spark, sf)
+    table = bucketed_posts(spark, sf)
     path = scratch_path(spark, "model")
     model.train(table, path)
     predicted = model.predict(model.load(path), _in_split(table, "test"))
@@ -228,7 +267,7 @@ def q_train_predict(spark, sf):
 
 
 def q_model_selection(spark, sf):
-    table = posts(spark, sf)
+    table = bucketed_posts(spark, sf)
     _, history = model.select_model(
         _in_split(table, "train"), _in_split(table, "validation")
     )
@@ -241,7 +280,9 @@ QUERIES: dict[str, Query] = {
     "load_splits": q_load_splits,
     "csv_round_trip": q_csv_round_trip,
     "union_splits": q_union_splits,
-    "split_filter": lambda spark, sf: _in_split(posts(spark, sf), "train"),
+    "head_in_file_order": q_head_in_file_order,
+    "csv_broken_rows": q_csv_broken_rows,
+    "split_filter": lambda spark, sf: _in_split(bucketed_posts(spark, sf), "train"),
     "label_names": lambda spark, sf: profile.with_label_name(post_labels(spark, sf)),
     "clean_text": q_clean_text,
     "clean_passthrough": q_clean_passthrough,
@@ -284,6 +325,8 @@ QUERIES: dict[str, Query] = {
     "baseline_report": q_baseline_report,
     "parity_check": q_parity_check,
     "parity_mismatches": q_parity_mismatches,
+    "parity_by_position": q_parity_by_position,
+    "position_mismatches": q_position_mismatches,
     "train_predict": q_train_predict,
     "model_selection": q_model_selection,
 }

@@ -37,22 +37,25 @@ def read_posts(
     fmt: str | None = None,
     schema: T.StructType | str | None = None,
     multi_line: bool = True,
-    infer_schema: bool = False,
 ) -> DataFrame:
     """Read a table of posts; the format follows the extension unless given.
 
+    A CSV row with too many or too few fields, or a field that is not of its column's
+    type, ends the job; ``checked_csv`` sets such rows aside instead.
+
     A CSV file with line breaks inside fields cannot be split, so one such file is
     one task: keep many files, or pass ``multi_line=False`` if no field has a break.
     In a file whose rows end in CRLF, Spark reads a CRLF inside a field as LF.
-    Without a schema every CSV column is read as string, which saves a second scan;
-    ``infer_schema`` has Spark find the types.
+    Without a schema every CSV column is read as string, which saves a second scan.
     """
     fmt = fmt or detect_format(path)
     if fmt == "parquet":
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.parquet(path)
     if fmt == "csv":
-        reader = spark.read.options(**READ_OPTIONS, multiLine=multi_line, inferSchema=infer_schema)
+        # Without pruning the fields are counted whichever columns are asked for.
+        reader = spark.read.options(**READ_OPTIONS, multiLine=multi_line, mode="FAILFAST",
+                                    columnPruning=False)
         return (reader if schema is None else reader.schema(schema)).csv(path)
     raise ValueError(UNSUPPORTED)
 
