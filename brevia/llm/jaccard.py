@@ -19,9 +19,10 @@ Pairs that meet are verified on the shingles themselves:
 3. Of the pairs left over in a bucket those with both ends in one component need no
    comparison; all others are compared.
 
-Before texts are fetched, a second parity sketch of fixed length rules out pairs whose
-sketches differ in more bits than linked sets could.  No pair within a component is formed
-after step 2, and no bucket is capped.
+Before texts are fetched, two more parity sketches rule out pairs whose sketches differ in
+more bits than linked sets could: one of fixed length, and for the pairs that are left one
+with a bit or more for each shingle, as a short one tells nothing of large sets.  No pair
+within a component is formed after step 2, and no bucket is capped.
 
 * Null or wordless text: no shingles; its own component; linked with nothing.
 * Fewer words than a shingle has: the words as one shingle.
@@ -88,6 +89,31 @@ def small_sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).view(np.int64)
 
 
+def long_sketch(values: np.ndarray) -> np.ndarray | None:
+    """A parity sketch with a bit or more for each shingle; none if the small one has that.
+    Its length is a power of two, so it is folded to half of that by one xor."""
+    words = 1 << (max(1, len(values) - 1) // 64).bit_length()
+    if words <= SKETCH_WORDS:
+        return None
+    bits = 64 * words
+    places = (values >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits(np.bincount(places, minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
+def may_link_closely(like: Likeness, a: str = "a", b: str = "b") -> str:
+    """SQL: the long sketches, if both sets have one, do not rule out a link.  Sets that
+    may be linked have sketches of one length, or one of twice the other's."""
+    def folded(one: str, other: str) -> str:
+        half = f"CAST(size(long_{one}) / 2 AS INT)"
+        return (f"IF(size(long_{one}) > size(long_{other}), zip_with(slice(long_{one}, 1, {half}),"
+                f" slice(long_{one}, 1 + {half}, {half}), (x, y) -> x ^ y), long_{one})")
+
+    apart = (f"aggregate(zip_with({folded(a, b)}, {folded(b, a)}, (x, y) -> bit_count(x ^ y)), 0,"
+             " (done, n) -> done + n)")
+    return (f"long_{a} IS NULL OR long_{b} IS NULL OR"
+            f" {apart} * {like.den + like.num} <= (n_{a} + n_{b}) * {like.den - like.num}")
+
+
 def may_link(like: Likeness, a: str = "a", b: str = "b") -> str:
     """SQL: neither the sizes nor the small sketches of two sets rule out a link."""
     apart = " + ".join(f"bit_count(sketch_{a}[{k}] ^ sketch_{b}[{k}])" for k in range(SKETCH_WORDS))
@@ -129,7 +155,7 @@ def piece_keys(values: np.ndarray, like: Likeness) -> np.ndarray:
 
 
 def sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, set_id, sketch) of every row."""
+    """(id, n_shingles, set_id, sketch, long_sketch) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
@@ -138,11 +164,12 @@ def sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
                 batch.column(0), pa.array([len(f) for f in found], pa.int64()),
                 pa.array([set_hash(f) if len(f) else None for f in found], pa.binary()),
                 pa.array([small_sketch(f) for f in found], pa.list_(pa.int64())),
-            ], ["id", "n_shingles", "set_id", "sketch"])
+                pa.array([long_sketch(f) for f in found], pa.list_(pa.int64())),
+            ], ["id", "n_shingles", "set_id", "sketch", "long_sketch"])
 
     return docs.select(F.col(key).alias("id"), text).mapInArrow(
         run, f"id {docs.schema[key].dataType.simpleString()}, n_shingles BIGINT, set_id BINARY,"
-             " sketch ARRAY<BIGINT>")
+             " sketch ARRAY<BIGINT>, long_sketch ARRAY<BIGINT>")
 
 
 def short_id(set_id: str = "set_id"):
@@ -261,7 +288,8 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
     class with other classes that had to be verified to know its component."""
     known = stored(sets(docs, like, key, text), "shingle-sets")
     classes = known.filter("set_id IS NOT NULL AND id IS NOT NULL").groupBy(
-        "set_id", "n_shingles").agg(F.min("id").alias("class_id"), F.first("sketch").alias("sketch"))
+        "set_id", "n_shingles").agg(F.min("id").alias("class_id"), F.first("sketch").alias("sketch"),
+                                    F.first("long_sketch").alias("long_sketch"))
     classes = stored(classes, "set-classes")
     names = classes.select(short_id().alias("short_id"), F.col("class_id").alias("node"))
     shared = buckets(docs.filter(F.col(key).isNotNull()), like, text)
@@ -276,8 +304,17 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
     seats = stored(meet.join(firsts.filter("first < last"), "bucket"), "bucket-seats")
     met = seats.filter("node <> first").select(
         F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    near = stored(met.join(about("a"), "a").join(about("b"), "b").filter(may_link(like)).select(
-        "a", "b"), "near-pairs")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs that the long sketches leave; only these pairs' sketches are moved."""
+        for side in ("a", "b"):
+            pairs = pairs.join(classes.select(
+                F.col("class_id").alias(side), F.col("n_shingles").alias(f"n_{side}"),
+                F.col("long_sketch").alias(f"long_{side}")), side)
+        return pairs.filter(may_link_closely(like)).select("a", "b")
+
+    near = met.join(about("a"), "a").join(about("b"), "b").filter(may_link(like)).select("a", "b")
+    near = stored(close(near), "near-pairs")
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
         return stored(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(
@@ -324,7 +361,7 @@ def jaccard_components(docs: DataFrame, like: Likeness = Likeness(), key: str =
 
     rest = half("a").join(half("b"), "bucket").filter(
         f"a > b AND label_a <> label_b AND {may_link(like)}").select("a", "b").distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    rest = stored(close(rest.join(tried, ["a", "b"], "left_anti")), "other-pairs")
     if not rest.isEmpty():
         missing = stored(ends(rest).join(texts, "id", "left_anti"), "other-ids")
         if not missing.isEmpty():

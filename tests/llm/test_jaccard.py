@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from brevia.llm import jaccard
 from brevia.llm.jaccard import BANDS, Likeness, jaccard_components, piece_keys
 from brevia.llm.queries import QUERIES
 
@@ -106,3 +107,27 @@ def test_query_equals_all_pairs(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     truth = brute([(r[0], r[1]) for r in rows], 3, 9, 10)
     assert {r["doc_id"]: (r["component_id"], [r["n_shingles"]]) for r in found} == truth
+
+
+def test_long_sketches_rule_out_no_linked_pair(spark):
+    draw, like = np.random.default_rng(3), jaccard.Likeness(5, 4, 5)
+    rows, linked = [], []
+    for n in (500, 520, 700, 1020, 1030, 2047, 2500, 9000):
+        for share in (0.0, 0.05, 0.1, 0.111, 0.3, 1.0):
+            one = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+            kept = one[int(share * len(one)):]
+            for other in (kept, np.unique(np.append(kept, draw.integers(0, 2**63, int(share * n))
+                                                    .astype(np.uint64)))):
+                if not len(other):
+                    continue
+                sketches = [None if s is None else s.tolist() for s in map(jaccard.long_sketch, (one, other))]
+                rows.append((len(rows), len(one), len(other), *sketches))
+                linked.append(like.linked(one, other))
+    df = spark.createDataFrame(
+        rows, "k INT, n_a BIGINT, n_b BIGINT, long_a ARRAY<BIGINT>, long_b ARRAY<BIGINT>")
+    size = f"{like.den} * least(n_a, n_b) >= {like.num} * greatest(n_a, n_b)"
+    left = {r.k for r in df.filter(f"{size} AND ({jaccard.may_link_closely(like)})").collect()}
+    assert {k for k, yes in enumerate(linked) if yes} <= left
+    # Of the large pairs that have little in common, few are left.
+    far = [k for k, row in enumerate(rows) if row[1] > 1200 and not linked[k]]
+    assert far and len(left & set(far)) <= len(far) // 3
