@@ -6,6 +6,9 @@ result to the shared scratch folder and reads it again for the next one.
 
 Null or empty texts go at the first stage, as they have no language.  A stage that gets
 no documents returns none.
+
+Stages that hand texts to Python set the session's Arrow batches to a few megabytes, so
+that the memory of a task does not follow the length of the texts.
 """
 
 from __future__ import annotations
@@ -19,12 +22,20 @@ from brevia.llm.common import as_columns, stored, table, unused
 # Texts that are nearer to no language than this are not of a known language.
 LEAST_SCORE = 0.05
 SHARDS = 24
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+           "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 # Fixed SQL cannot express trained models; tests compare with brute force instead.
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is in one of the languages that the corpus is labelled with."""
+    small_batches(spark)
     learnt = language.profiles(docs.filter(~language.held_out(F.col("doc_id"))))
     pred, score = unused(docs, "lang_pred"), unused(docs, "score")
     found = language.predict(docs, learnt, pred=pred, score=score)
@@ -38,6 +49,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The ids that go are looked up, so documents are moved once.  Rows that share an id
     are one document: the first text by order stays.  Rows without an id stay.
     """
+    small_batches(spark)
     found = jaccard.jaccard_components(docs, jaccard.Likeness(5, 4, 5))
     gone = found.filter("component_id < id").select(F.col("id").alias("doc_id")).distinct()
     first = unused(docs, "first")
@@ -50,6 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
