@@ -100,11 +100,15 @@ def chances(docs: DataFrame, membership: Membership, keep: list[Column], text: s
     model = membership.model.copy().setFeaturesCol("mix_features").setProbabilityCol("mix_chances")
     model = model.setRawPredictionCol("mix_raw").setPredictionCol("mix_domain")
     scored = model.transform(hashed("mix_tokens", "mix_features").transform(rows))
-    share = vector_to_array("mix_chances")
+    # Generated as a row of its own, the chances of a text are computed once, however often
+    # they are asked for afterwards.
+    once = F.explode(F.array(vector_to_array("mix_chances"))).alias("mix_share")
+    scored = scored.select(*(F.col(f"`{c}`") for c in rows.columns if c != "mix_tokens"), once)
+    share = F.col("mix_share")
     seen = membership.model.numClasses
     whole = [share[place] if place < seen else F.lit(0.0) for place in range(n)]
     parts = [F.round(part * 1000).cast("int") for part in whole]
-    return scored.select(*(F.col(f"`{c}`") for c in rows.columns if c != "mix_tokens"),
+    return scored.select(*(F.col(f"`{c}`") for c in scored.columns if c != "mix_share"),
                          *(p.alias(f"m_{d}") for p, d in zip(parts, membership.names)),
                          *(p.alias(f"c_{d}") for p, d in zip(whole, membership.names)))
 
