@@ -39,6 +39,8 @@ from .common import WordHashes, mixed, signed, split_words, stored, table, windo
 WINDOW = 50
 PHRASE = 6
 BLOCK_BYTES = 8 << 20
+# A task compares about this many windows with each other before it sends them.
+AT_HAND = 1 << 19
 SEVERAL = "several texts"
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -217,41 +219,107 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shared: Data
     return ordered.mapInArrow(run, LOCATED)
 
 
+def settled(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows are equal to one with a smaller id; windows come in order of their ids.
+    Of windows whose first hashes only are equal, fewer may be told."""
+    order = np.argsort(h1, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+    first = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    out = np.empty(len(order), bool)
+    out[order] = ids[order] > first
+    return out
+
+
 def windows(rows: DataFrame, window: int) -> DataFrame:
-    """(h1, h2, id, spot) of the windows in the rows' runs; a spot is tag and start."""
+    """(h1, h2, id, spot, length) of the windows in the rows' runs; a spot is tag and start.
+
+    A task compares the windows it has at hand.  Those that have a smaller document among
+    them are known to go: each run of them is one row with its length, and a hash of the id
+    in place of the window's, so that a window which very many documents have is sent about
+    once a task.  The others have length 0.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, one, two = WordHashes(), Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
         for batch in batches:
-            h1, h2, ids, spots = ([np.empty(0, np.int64)] for _ in range(4))
-            for key, mark, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            held, size = [], 0
+            for row in np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable").tolist():
+                key, mark, text, runs = (column[row].as_py() for column in batch.columns)
                 values = hashes.of(split_words(text))
                 for begin, end in zip(runs[::2], runs[1::2]):
                     part = values[begin:end + window - 1]
-                    h1.append(signed(one(part, window)))
-                    h2.append(signed(two(part, window) >> np.uint64(49)))
-                    ids.append(np.full(end - begin, key, np.int64))
-                    spots.append(np.arange(begin, end, dtype=np.int64) | mark << 32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2).astype(np.int16)),
-                 pa.array(np.concatenate(ids)), pa.array(np.concatenate(spots))],
-                ["h1", "h2", "id", "spot"])
+                    held.append((signed(one(part, window)),
+                                 signed(two(part, window) >> np.uint64(49)).astype(np.int16),
+                                 np.full(end - begin, key, np.int64),
+                                 np.arange(begin, end, dtype=np.int64) | mark << 32))
+                    size += end - begin
+                if size >= AT_HAND:
+                    yield compared(held)
+                    held, size = [], 0
+            if held:
+                yield compared(held)
+
+    def compared(held: list[tuple]) -> pa.RecordBatch:
+        h1, h2, ids, spots = map(np.concatenate, zip(*held))
+        gone = settled(h1, h2, ids)
+        same = gone[1:] & gone[:-1] & (ids[1:] == ids[:-1]) & (spots[1:] == spots[:-1] + 1)
+        begins = np.flatnonzero(gone & ~np.concatenate([[False], same]))
+        ends = np.flatnonzero(gone & ~np.concatenate([same, [False]]))
+        rest = ~gone
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([h1[rest], signed(mixed(ids[begins].view(np.uint64)))])),
+            pa.array(np.concatenate([h2[rest], np.zeros(len(begins), np.int16)])),
+            pa.array(np.concatenate([ids[rest], ids[begins]])),
+            pa.array(np.concatenate([spots[rest], spots[begins]])),
+            pa.array(np.concatenate([np.zeros(rest.sum(), np.int32),
+                                     (ends - begins + 1).astype(np.int32)])),
+        ], ["h1", "h2", "id", "spot", "length"])
 
     return rows.select("id", "tag", "text", "runs").mapInArrow(
-        run, "h1 BIGINT, h2 SMALLINT, id BIGINT, spot BIGINT")
+        run, "h1 BIGINT, h2 SMALLINT, id BIGINT, spot BIGINT, length INT")
+
+
+def later(seen: DataFrame) -> DataFrame:
+    """(id, spot, length): the runs known to go, and of equal windows those that do not have
+    the smallest id.  Windows are sent once; a task reads them in order and remembers the
+    last one's smallest id only."""
+    ordered = seen.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            h1, h2, ids, spots, length = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            gone = length > 0
+            open_ = np.flatnonzero(~gone)
+            if len(open_):
+                a, b, mine = h1[open_], h2[open_], ids[open_]
+                new = np.ones(len(open_), bool)
+                new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                first = mine[np.maximum.accumulate(np.where(new, np.arange(len(open_)), 0))]
+                if last and last[:2] == (a[0], b[0]):
+                    until = np.flatnonzero(new[1:])
+                    first[:until[0] + 1 if len(until) else len(first)] = last[2]
+                gone[open_] = mine > first
+                last = a[-1], b[-1], first[-1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[gone]), pa.array(spots[gone]),
+                 pa.array(np.maximum(length[gone], 1).astype(np.int32))], ["id", "spot", "length"])
+
+    return ordered.mapInArrow(run, "id BIGINT, spot BIGINT, length INT")
 
 
 def trimmed(rows: DataFrame, window: int) -> DataFrame:
-    """(id, n_words, n_removed, kept): the rows' words without those that windows starting
-    at ``gone`` cover."""
+    """(id, n_words, n_removed, kept): the rows' words without those that the windows of
+    the runs in ``gone`` cover."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, text, starts in zip(*(c.to_pylist() for c in batch.columns)):
                 words = split_words(text)
                 edges = np.zeros(len(words) + 1, np.int64)
-                for start in starts or ():
-                    edges[start] += 1
-                    edges[start + window] -= 1
+                for piece in starts or ():
+                    edges[piece["start"]] += 1
+                    edges[piece["start"] + piece["length"] - 1 + window] -= 1
                 gone = edges.cumsum()[:-1] > 0
                 kept = b" ".join(w for w, g in zip(words, gone) if not g).decode()
                 out.append((key, len(words), int(gone.sum()), kept))
@@ -288,11 +356,9 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
                    "located")
 
     maybe = found.filter(F.size("runs") > 0)
-    seen = windows(maybe, window)
-    first = seen.groupBy("h1", "h2").agg(F.min("id").alias("first"))
-    gone = seen.join(first, ["h1", "h2"]).filter("id > first").groupBy(
-        "id", F.shiftright("spot", 32).alias("tag")).agg(
-        F.collect_list(F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int")).alias("gone"))
+    start = F.col("spot").bitwiseAND(0xFFFFFFFF).cast("int").alias("start")
+    gone = later(windows(maybe, window)).groupBy("id", F.shiftright("spot", 32).alias("tag")).agg(
+        F.collect_list(F.struct(start, "length")).alias("gone"))
     cut = trimmed(maybe.join(gone, ["id", "tag"], "left"), window)
     rest = found.filter(F.size("runs") == 0).select(
         "id", "n_words", F.when(F.col("whole"), F.col("n_words")).otherwise(0).cast("bigint")

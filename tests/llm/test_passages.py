@@ -1,7 +1,9 @@
 import hashlib
 import random
 
-from brevia.llm.passages import remove_passages
+import numpy as np
+
+from brevia.llm.passages import remove_passages, settled
 from brevia.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +69,32 @@ def test_query_equals_all_windows(spark):
         "doc_id", "n_words", "n_removed", "kept_sha256").collect()
     rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     assert sorted(map(tuple, got)) == brute([(r[0], r[1]) for r in rows])
+
+
+def test_batches_of_a_few_rows(spark, make_docs, words):
+    passage, other = words(70, 1), words(55, 2)
+    rows = [(key, " ".join(words(key % 7, 100 + key) + (passage if key % 3 else other) + words(3, 500 + key)))
+            for key in range(90)] + [(200, " ".join(passage * 3))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert found(make_docs(rows[::-1]).repartition(4)) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_settled_windows_have_a_smaller_document():
+    draw = random.Random(4)
+    rows = sorted(((draw.randint(0, 9), draw.randint(0, 1), draw.randint(0, 20)) for _ in range(300)),
+                  key=lambda r: r[2])
+    h1, h2, ids = (np.array(c, np.int64) for c in zip(*rows))
+    first = {}
+    for a, b, key in rows:
+        first[a, b] = min(key, first.get((a, b), key))
+    real = np.array([key > first[a, b] for a, b, key in rows])
+    told = settled(h1, h2.astype(np.int16), ids)
+    assert not (told & ~real).any()
+    one = np.zeros_like(h2)
+    least = {a: min(k for x, _, k in rows if x == a) for a, _, _ in rows}
+    assert settled(h1, one, ids).tolist() == [key > least[a] for a, _, key in rows]
+    assert settled(h1[:0], h2[:0], ids[:0]).tolist() == []
