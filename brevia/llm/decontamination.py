@@ -5,10 +5,15 @@ characters).  If it is cut into e + 1 pieces, one of them at least occurs unchan
 pieces go into one automaton, every document is streamed through it, and around each hit
 the item's edit distance to the text is found with Myers' bit-parallel algorithm.
 
-Items and documents are compared in lower case with single blanks between words.
+Items and documents are compared in lower case with single blanks between words.  The
+error budget is ERROR_RATE of an item's characters, and at most one for each LEAST_PIECE
+characters less one, so that no piece is shorter than that.  An item of fewer than
+LEAST_ITEM characters occurs by chance in text that has nothing to do with it; it is never
+found (``least`` changes that).
 
 * Null or blank item: never found.  Null or blank document: holds no item.
-* Repeated items or documents: each row counts on its own.
+* Null or text ids of items: kept as they are.
+* Repeated items or documents: each row counts on its own; an item's text is sent once.
 * An empty table of documents or items: nothing is found.
 * Columns beside id and text are kept by ``without_contaminated`` and not read by
   ``matches``.
@@ -23,11 +28,13 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .common import table
 
 ERROR_RATE = 0.08
 LEAST_PIECE = 10
+LEAST_ITEM = 20
 ITEM_BLOCK_BYTES = 4 << 20
 
 
@@ -38,7 +45,7 @@ def plain(text: str | None) -> str:
 class Pattern:
     """An item with its error budget, pieces and bit masks."""
 
-    def __init__(self, item_id: int, text: str, rate: float):
+    def __init__(self, item_id: int | str | None, text: str, rate: float):
         self.item_id, self.text, self.n = item_id, text, len(text)
         self.errors = max(0, min(int(rate * self.n), self.n // LEAST_PIECE - 1))
         cuts = [self.n * k // (self.errors + 1) for k in range(self.errors + 2)]
@@ -73,7 +80,7 @@ class Pattern:
 
 
 class Hit(NamedTuple):
-    item_id: int
+    item_id: int | str | None
     distance: int
     end: int  # in the document's plain form
 
@@ -81,8 +88,10 @@ class Hit(NamedTuple):
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE):
-        self.patterns = [Pattern(i, t, rate) for i, t in ((i, plain(t)) for i, t in items) if t]
+    def __init__(self, items: list[tuple[int | str | None, str]], rate: float = ERROR_RATE,
+                 least: int = LEAST_ITEM):
+        self.patterns = [Pattern(i, t, rate) for i, t in ((i, plain(t)) for i, t in items)
+                         if len(t) >= max(1, least)]
         self.automaton = ahocorasick.Automaton()
         owners: dict[str, list[tuple[int, int]]] = {}
         for number, pattern in enumerate(self.patterns):
@@ -113,11 +122,17 @@ class Matcher:
             near = min((*pattern.nearest(line[a:b]), a) for a, b in known)
             if near[0] <= pattern.errors:
                 out.append(Hit(pattern.item_id, near[0], near[2] + near[1]))
-        return sorted(out)
+        return sorted(out, key=lambda hit: (hit.distance, hit.end))
+
+
+def distinct_items(items: DataFrame, item_text: str) -> DataFrame:
+    """(item, text): each text once, with a digest to find its rows again."""
+    texts = items.select(F.col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
+    return texts.select(F.sha2("text", 256).alias("item"), "text")
 
 
 def item_blocks(items: DataFrame, key: str, text: str,
-                block_bytes: int = ITEM_BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+                block_bytes: int = ITEM_BLOCK_BYTES) -> Iterator[list[tuple[int | str | None, str]]]:
     """The items in blocks of bounded size; each is a pass over the documents."""
     total = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = -(-total // block_bytes)
@@ -128,35 +143,38 @@ def item_blocks(items: DataFrame, key: str, text: str,
 
 def matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
             item_key: str = "item_id", item_text: str = "text",
-            rate: float = ERROR_RATE) -> DataFrame:
-    """(doc_id, item_id, distance, end) of each item found in a document."""
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, item_id BIGINT, distance INT, end INT"
-    out = docs.sparkSession.range(0).selectExpr(
-        *(f"CAST(NULL AS {part.rsplit(' ', 1)[1]}) AS {part.rsplit(' ', 1)[0]}"
-          for part in schema.split(", ")))
-    for block in item_blocks(items, item_key, item_text):
+            rate: float = ERROR_RATE, least: int = LEAST_ITEM) -> DataFrame:
+    """(doc_id, item_id, distance, end) of each item found in a document; ids keep the
+    types they have.  Rows of items with one text are joined with the hits of that text."""
+    schema = StructType([StructField("found_in", docs.schema[key].dataType),
+                         StructField("item", StringType()), StructField("distance", IntegerType()),
+                         StructField("end", IntegerType())])
+    hits = docs.sparkSession.range(0).select(
+        *(F.lit(None).cast(part.dataType).alias(part.name) for part in schema))
+    for block in item_blocks(distinct_items(items, item_text), "item", "text"):
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, least)
             for batch in batches:
                 rows = [(key_, *hit) for key_, value in zip(batch.column(0).to_pylist(), batch.column(1))
                         for hit in matcher(value.as_py())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[k] for r in rows], t) for k, t in enumerate(
-                        (batch.column(0).type, pa.int64(), pa.int32(), pa.int32()))],
-                    [key, "item_id", "distance", "end"])
+                        (batch.column(0).type, pa.string(), pa.int32(), pa.int32()))],
+                    ["found_in", "item", "distance", "end"])
 
-        out = out.unionByName(docs.select(key, text).mapInArrow(run, schema))
-    return out
+        hits = hits.unionByName(docs.select(key, text).mapInArrow(run, schema))
+    named = items.select(F.col(item_key).alias("item_id"), F.sha2(F.col(item_text), 256).alias("item"))
+    return hits.join(named, "item").select(F.col("found_in").alias(key), "item_id", "distance", "end")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
                          item_key: str = "item_id", item_text: str = "text",
-                         rate: float = ERROR_RATE) -> DataFrame:
+                         rate: float = ERROR_RATE, least: int = LEAST_ITEM) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     place = docs.columns.index(text)
-    for block in item_blocks(items, item_key, item_text):
+    for block in item_blocks(distinct_items(items, item_text), "item", "text"):
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, least)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher(v.as_py()) for v in batch.column(place)],
                                             pa.bool_()))

@@ -6,6 +6,8 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import as_columns
+
 HASHED = 1 << 16
 SAMPLE_ROWS = 20_000
 _MILLION = 1_000_000
@@ -27,8 +29,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str,
 
     Rows are chosen by a hash of the key, the same ones in each run.  The chosen labels
     are few enough, by that bound, to be sent to all tasks, so documents are not shuffled.
+    Of several labels for a key the least by the order of the other columns counts, nulls
+    first, so each run takes the same one.
     """
-    usable = labels.filter(F.col(key).isNotNull()).dropDuplicates([key])
+    others = [c for c in labels.columns if c != key]
+    usable = labels.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min(F.struct(*as_columns(others))).alias("label")).select(
+        key, *(F.col("label")[c].alias(c) for c in others))
     share = min(1.0, rows / max(1, usable.count()))
     chosen = usable.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(_MILLION))
                            < int(share * _MILLION))

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from brevia.llm import decontamination, pages, quality, toxicity
+from brevia.llm import decontamination, features, pages, quality, toxicity
 from brevia.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -137,6 +137,31 @@ def test_items_in_several_blocks_are_all_found(spark, words):
     assert len(blocks) > 3 and sorted(i for b in blocks for i, _ in b) == list(range(30))
 
 
+def test_items_without_id_or_with_text_ids(spark, make_docs, words):
+    one, two = " ".join(words(9, 1)), " ".join(words(9, 2))
+    docs = make_docs([(1, f"{one} and {two}"), (2, two), (3, "neither of them")])
+    for kind, first, second in (("BIGINT", None, 5), ("STRING", "a-1", None)):
+        table = spark.createDataFrame([(first, one), (second, two), (second, two)],
+                                      f"item_id {kind}, text STRING")
+        rows = decontamination.matches(docs, table)
+        assert rows.schema["item_id"].dataType == table.schema["item_id"].dataType
+        assert sorted((r["doc_id"], r["item_id"] or 0) for r in rows.collect() if r["doc_id"] == 2) == [
+            (2, second or 0)] * 2
+        assert rows.filter("doc_id = 1").count() == 3 and rows.filter("doc_id = 3").count() == 0
+        kept = decontamination.without_contaminated(docs, table).collect()
+        assert [r["doc_id"] for r in kept] == [3]
+    assert len(decontamination.Matcher([(None, one), (1, one)])(one)) == 2
+
+
+def test_tiny_items_are_no_evidence(spark, make_docs):
+    docs = make_docs([(1, "a party of cats"), (2, "exactly twenty chars")])
+    table = spark.createDataFrame([(1, "a"), (2, "cats"), (3, "exactly twenty chars")],
+                                  "item_id BIGINT, text STRING")
+    assert [r["doc_id"] for r in decontamination.without_contaminated(docs, table).collect()] == [1]
+    found = decontamination.matches(docs, table, least=4).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == [(1, 2), (2, 3)]
+
+
 def test_toxic_documents_are_found(spark, make_docs, words):
     docs = [(k, " ".join(words(60, k) + ["horrid", "vile"] * (k % 4 == 0) + words(60, 500 + k)))
             for k in range(400)]
@@ -242,3 +267,13 @@ def test_names_that_hold_such_a_word_lose_no_text(around):
                  "<body><div class='ad'>Buy</div><div class='cookie-notice'>Yes</div>{}</body>"):
         html = page.format(around.format(text))
         assert [b.text for b in pages.blocks_of(html) if not b.out] == wanted
+
+
+def test_of_conflicting_labels_the_least_counts(spark, make_docs):
+    rows = [(1, 1, 0), (1, 0, 1), (1, 0, 0), (2, None, 1), (2, 0, 0), (None, 1, 1)]
+    docs = make_docs([(1, "one"), (2, "two"), (3, "three")])
+    for order in (rows, rows[::-1]):
+        labels = spark.createDataFrame(order, "doc_id BIGINT, quality INT, toxic INT")
+        got = features.labelled_sample(docs, labels.repartition(3), "doc_id", "text").select(
+            "doc_id", "text", "quality", "toxic").collect()
+        assert sorted(map(tuple, got)) == [(1, "one", 0, 0), (2, "two", None, 1)]
