@@ -65,6 +65,20 @@ def sampled(hashes: np.ndarray, span: int) -> np.ndarray:
     return np.minimum(least[:-rest], least[rest:]) if rest else least
 
 
+def changes(chosen: np.ndarray) -> np.ndarray:
+    """The windows whose sampled phrase is not that of the window before."""
+    return np.concatenate([[0], np.flatnonzero(chosen[1:] != chosen[:-1]) + 1])
+
+
+def sampled_at(hashes: np.ndarray, chosen: np.ndarray, span: int) -> np.ndarray:
+    """A place of each distinct sampled phrase.  Only windows with another phrase than
+    their predecessor are looked into."""
+    at = changes(chosen)
+    _, first = np.unique(chosen[at], return_index=True)
+    at = at[first]
+    return at + np.lib.stride_tricks.sliding_window_view(hashes, span)[at].argmin(axis=1)
+
+
 def phrases_of(words: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The hash of the phrase at each word, and of the phrase sampled for each window; a
     text must be as long as a window."""
@@ -126,8 +140,7 @@ def recurring_phrases(docs: DataFrame, blocks: int, window: int, size: int) -> D
                     continue
                 name = int.from_bytes(sequence_hash(words)[:8], "big", signed=True)
                 every, chosen = phrases_of(hashes.of(words), window, size)
-                distinct, first = np.unique(every, return_index=True)
-                starts = first[np.searchsorted(distinct, np.unique(chosen))].tolist()
+                starts = sampled_at(every, chosen, window - size + 1).tolist()
                 out += [(block, b" ".join(words[s:s + size]), name) for s in starts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([o[0] for o in out], pa.int32()),
@@ -211,7 +224,8 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shared: Data
         runs: list[int] = []
         if key is not None and len(words) >= window and len(found := shard.starts(words)):
             every, chosen = phrases_of(hashes.of(words), window, size)
-            may = np.isin(chosen, every[found])
+            at = changes(chosen)
+            may = np.repeat(np.isin(chosen[at], every[found]), np.diff(at, append=len(chosen)))
             runs = np.flatnonzero(np.diff(may.astype(np.int8), prepend=0, append=0)).tolist()
         digest = hashlib.sha256(b" ".join(words)).hexdigest()
         return key, len(words), digest, False, mark, text if runs else None, runs

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from brevia.llm.passages import remove_passages, settled
+from brevia.llm.passages import phrases_of, remove_passages, sampled_at, settled
 from brevia.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -98,3 +98,10 @@ def test_settled_windows_have_a_smaller_document():
     least = {a: min(k for x, _, k in rows if x == a) for a, _, _ in rows}
     assert settled(h1, one, ids).tolist() == [key > least[a] for a, _, key in rows]
     assert settled(h1[:0], h2[:0], ids[:0]).tolist() == []
+
+
+def test_each_sampled_phrase_has_a_place():
+    draw = np.random.default_rng(3)
+    for n, kinds in ((50, 9), (51, 3), (400, 40), (3000, 10**9)):
+        hashes, chosen = phrases_of(draw.integers(0, kinds, n).astype(np.uint64), 50, 6)
+        assert sorted(hashes[sampled_at(hashes, chosen, 45)]) == sorted(set(chosen.tolist()))
