@@ -1,6 +1,7 @@
 """Quality, decontamination, toxicity and pages."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -269,6 +270,66 @@ def test_names_that_hold_such_a_word_lose_no_text(around):
         assert [b.text for b in pages.blocks_of(html) if not b.out] == wanted
 
 
+BARE = """<html><body><div><div><a href=x>Start {0}</a> <a href=y>News {1}</a></div></div>
+{ad}<div><div><h1>Title {0}</h1><p>First {text}</p><div><p>Second {text}</p></div>
+<p>Third {1}</p></div><div>Sold here: {1} cheap things</div></div>
+<div><p>Owned by {host} since {1}</p></div></body></html>"""
+
+
+def test_unnamed_varying_menus_and_adverts_are_found_by_the_template(spark, words):
+    rows, wanted = [], {}
+    for host in ("one.example", "two.example"):
+        for k in range(12):
+            text = " ".join(words(40, k))
+            ad = f"<div><p>Buy number {k * 7} now</p></div>" if k % 3 == 0 else ""
+            rows.append((len(rows), f"http://{host}/{k}",
+                         BARE.format(k, k + 1, ad=ad, text=text, host=host)))
+            wanted[len(rows) - 1] = [f"Title {k}", f"First {text}", f"Second {text}", f"Third {k + 1}"]
+    assert extracted(spark, rows) == wanted
+
+
+def test_a_notice_that_is_longer_than_the_articles_is_not_the_article(spark, words):
+    notice = " ".join(words(200, 1))
+    page = "<body><div>{0}</div><div><div><h1>Title {1}</h1><p>{2}</p></div></div></body>"
+    rows = [(k, f"http://n.example/{k}", page.format(notice, k, " ".join(words(60, 9 + k))))
+            for k in range(12)]
+    assert extracted(spark, rows) == {
+        k: [f"Title {k}", " ".join(words(60, 9 + k))] for k in range(12)}
+    # A host with one page has nothing that tells the notice from an article.
+    assert extracted(spark, rows[:1]) == {0: [notice]}
+
+
+def test_a_hosts_articles_grow_without_a_switch(spark):
+    page = "<body><article><h1>Title {0}</h1><p>We all quote this line</p><p>{1}</p></article></body>"
+    for n in (2, 5, 10):  # no evidence against a shared line in so few articles
+        rows = [(k, f"http://q{n}.example/{k}", page.format(k, f"own{k} " * 20)) for k in range(n)]
+        assert all(len(blocks) == 3 for blocks in extracted(spark, rows).values())
+
+
+def test_classes_must_come_in_one_order_and_be_nested(spark):
+    def valid(*orders):
+        struct = spark.createDataFrame([("h", str(k), list(o)) for k, o in enumerate(orders)],
+                                       "host STRING, row STRING, elements ARRAY<BIGINT>")
+        vectors = {1: 10, 2: 10, 3: 30, 4: 30}
+        elements = spark.createDataFrame([("h", t, v) for t, v in vectors.items()],
+                                         "host STRING, token BIGINT, vector BIGINT")
+        hosts = spark.createDataFrame([("h", len(orders))], "host STRING, all_pages BIGINT")
+        found = pages.in_classes(struct, pages.Dealt(hosts), elements)
+        return sorted(r["vector"] for r in found.collect())
+
+    assert valid([1, 3, 4, 2], [1, 3, 4, 2], [1, 2]) == [10, 30]
+    assert valid([1, 2, 3, 4], [1, 2, 9, 3, 4]) == [10, 30]
+    assert valid([1, 2, 3, 4], [2, 1, 3, 4]) == [30]
+    assert valid([1, 3, 2, 4], [1, 3, 2, 4]) == []
+
+
+def test_deep_pages_take_linear_time():
+    begin = time.perf_counter()
+    blocks = pages.blocks_of("<div>" * 40_000 + "<p>deep</p>" + "</b></i>" * 20_000)
+    assert [b.text for b in blocks] == ["deep"] and time.perf_counter() - begin < 10
+    assert pages.main_blocks("<div>" * 40_000 + "<p>deep</p>", set(), None, set()) == ["deep"]
+
+
 def test_of_conflicting_labels_the_least_counts(spark, make_docs):
     rows = [(1, 1, 0), (1, 0, 1), (1, 0, 0), (2, None, 1), (2, 0, 0), (None, 1, 1)]
     docs = make_docs([(1, "one"), (2, "two"), (3, "three")])
