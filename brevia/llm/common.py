@@ -34,21 +34,10 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to ``most`` words."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words.  They are computed anew each time, which takes less than
+    looking them up among those of a large vocabulary, and no memory."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, signed, stored, table, window_hashes
+from .common import mixed, signed, stored, table, window_hashes, word_hashes
 from .components import components
 
 BAND = 2.0
@@ -72,9 +72,9 @@ class Likeness(NamedTuple):
         return self.den * both >= self.num * (len(one) + len(other) - both)
 
 
-def shingles(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct shingles' hashes, in order; A-Z count as a-z."""
-    words = hashes.of(text.encode().lower().split()) if text else np.empty(0, np.uint64)
+    words = word_hashes(text.encode().lower().split()) if text else np.empty(0, np.uint64)
     return np.unique(window_hashes(words, min(size, len(words)) or 1))
 
 
@@ -157,9 +157,8 @@ def piece_keys(values: np.ndarray, like: Likeness) -> np.ndarray:
 def sets(docs: DataFrame, like: Likeness, key: str, text: str) -> DataFrame:
     """(id, n_shingles, set_id, sketch, long_sketch) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            found = [shingles(value.as_py(), like.size, hashes) for value in batch.column(1)]
+            found = [shingles(value.as_py(), like.size) for value in batch.column(1)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(f) for f in found], pa.int64()),
                 pa.array([set_hash(f) if len(f) else None for f in found], pa.binary()),
@@ -185,11 +184,11 @@ def buckets(docs: DataFrame, like: Likeness, text: str) -> DataFrame:
     size takes no memory.  A task sends a set once, however many copies it reads.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sent = WordHashes(), set()
+        sent: set[bytes] = set()
         for batch in batches:
             keys, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for value in batch.column(0):
-                found = shingles(value.as_py(), like.size, hashes)
+                found = shingles(value.as_py(), like.size)
                 name = set_hash(found)
                 if not len(found) or name in sent:
                     continue
@@ -262,11 +261,11 @@ def verified(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
 def compared(heads: DataFrame, members: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) of a member and its head whose sets are similar enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, head, own = WordHashes(), None, []
+        head, own = None, []
         for batch in batches:
             found: list[tuple[int, int]] = []
             for b, part, a, text in zip(*(c.to_pylist() for c in batch.columns)):
-                values = shingles(text, like.size, hashes)
+                values = shingles(text, like.size)
                 if (b, part) != head:
                     head, own = (b, part), []
                 if a is None:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mixed, signed, split_words, stored, table, window_hashes
+from .common import mixed, signed, split_words, stored, table, window_hashes, word_hashes
 
 WINDOW = 50
 PHRASE = 6
@@ -131,7 +131,6 @@ def recurring_phrases(docs: DataFrame, blocks: int, window: int, size: int) -> D
     it, and the set of all its blocks has one small number for each block at most.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out: list[tuple[int, str, int]] = []
             for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -139,7 +138,7 @@ def recurring_phrases(docs: DataFrame, blocks: int, window: int, size: int) -> D
                 if len(words) < window:
                     continue
                 name = int.from_bytes(sequence_hash(words)[:8], "big", signed=True)
-                every, chosen = phrases_of(hashes.of(words), window, size)
+                every, chosen = phrases_of(word_hashes(words), window, size)
                 starts = sampled_at(every, chosen, window - size + 1).tolist()
                 out += [(block, b" ".join(words[s:s + size]), name) for s in starts]
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +193,6 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shared: Data
     ordered = rows.repartition(blocks, "block").sortWithinPartitions("block", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         block, phrases_, copies_, shard = None, [], set(), None
         for batch in batches:
             out: list[tuple] = []
@@ -207,7 +205,7 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shared: Data
                     copies_.add((key, text))
                 else:
                     shard = shard or Shard(phrases_, size)
-                    out.append(place(key, text, shard, copies_, hashes))
+                    out.append(place(key, text, shard, copies_))
             columns = list(zip(*out)) if out else [[] for _ in range(7)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(columns, (
@@ -215,7 +213,7 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shared: Data
                     pa.list_(pa.int32())))],
                 ["id", "n_words", "kept_sha256", "whole", "tag", "text", "runs"])
 
-    def place(key, text, shard, copies_, hashes) -> tuple:
+    def place(key, text, shard, copies_) -> tuple:
         words = split_words(text)
         name = sequence_hash(words)
         mark = tag(name) if (key, SEVERAL) in copies_ else 0
@@ -223,7 +221,7 @@ def located(docs: DataFrame, phrases: DataFrame, copies: DataFrame, shared: Data
             return key, len(words), EMPTY, True, mark, None, []
         runs: list[int] = []
         if key is not None and len(words) >= window and len(found := shard.starts(words)):
-            every, chosen = phrases_of(hashes.of(words), window, size)
+            every, chosen = phrases_of(word_hashes(words), window, size)
             at = changes(chosen)
             may = np.repeat(np.isin(chosen[at], every[found]), np.diff(at, append=len(chosen)))
             runs = np.flatnonzero(np.diff(may.astype(np.int8), prepend=0, append=0)).tolist()
@@ -254,12 +252,12 @@ def windows(rows: DataFrame, window: int) -> DataFrame:
     once a task.  The others have length 0.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, one, two = WordHashes(), Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
+        one, two = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
         for batch in batches:
             held, size = [], 0
             for row in np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable").tolist():
                 key, mark, text, runs = (column[row].as_py() for column in batch.columns)
-                values = hashes.of(split_words(text))
+                values = word_hashes(split_words(text))
                 for begin, end in zip(runs[::2], runs[1::2]):
                     part = values[begin:end + window - 1]
                     held.append((signed(one(part, window)),
