@@ -8,6 +8,8 @@ Only DataFrame functions are used.
 * Null text: 0 bytes of text.  Null key: the text takes its place in the hash.
 * Repeated rows share a slot; each is a row of its own there.
 * An empty table: no rows, and a map that shares out the slots evenly.
+* Versions are kept in a folder that the caller names, one folder each, and outlive the
+  session; a version that is there is never overwritten.
 * Columns beside the key and the text are not read.
 """
 
@@ -16,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32, stored
+from ..sources.writers import scratch_path
+from .common import crc32, stored, table
 
 SLOTS = 8192
 RECORD_BYTES = 8
@@ -116,23 +119,45 @@ def positions(sized: DataFrame, slot_map: DataFrame, key: str) -> DataFrame:
     )
 
 
+def save_map(slot_map: DataFrame, path: str) -> DataFrame:
+    """Stores one version of the map in its own folder of ``path``, which must be new, and
+    returns it as stored."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.drop("version").write.parquet(f"{path}/version={version}")
+    return load_map(slot_map.sparkSession, path, version)
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map, the last one if none is named."""
+    versions = spark.read.schema(MAP_SCHEMA).parquet(path).select("version", "slot", "shard", "bytes", "n_rows")
+    if version is None:
+        version = versions.agg(F.max("version")).first()[0]
+    return versions.filter(F.col("version") == version)
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text",
-                    slots: int = SLOTS) -> DataFrame:
+                    slots: int = SLOTS, earlier: DataFrame | None = None,
+                    path: str | None = None) -> DataFrame:
     """Every record with its shard and place, by a map balanced over the shards' bytes.
 
-    The map of both versions is stored in the scratch folder before records are placed.
+    The map is the next version of ``earlier``, a map of as many slots, of which as few
+    slots as possible move; without it, of equal ranges.  It is stored in ``path``, else in
+    the scratch folder, before records are placed.
     """
     sized = sizes(docs, key, text, slots)
     stats = slot_stats(sized, slots)
-    first = first_map(stats, shards, slots)
-    versions = stored(first.unionByName(rebalanced(first, stats, shards)), "slot-map")
-    return positions(sized, versions.filter("version = 2"), key)
+    if earlier is None:
+        earlier = first_map(stats, shards, slots)
+    after = rebalanced(earlier, stats, shards)
+    slot_map = save_map(stored(after, "slot-map"), path) if path else stored(after, "slot-map")
+    return positions(sized, slot_map, key)
 
 
 def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import table
-
-    placed = shard_documents(table(spark, sf_dir, "documents"))
+    """Version 1 is stored, read again and edited into version 2, which places the rows."""
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "slot-maps")
+    save_map(first_map(slot_stats(sizes(docs, "doc_id", "text")), 24), path)
+    placed = shard_documents(docs, earlier=load_map(spark, path), path=path)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",

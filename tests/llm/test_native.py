@@ -124,6 +124,25 @@ def test_rebalancing_moves_few_slots(make_docs, words):
     assert sum(before[r["slot"]] != r["shard"] for r in same.collect()) <= 8
 
 
+def test_a_stored_map_is_loaded_and_edited(spark, make_docs, words, tmp_path):
+    path = str(tmp_path / "maps")
+    few = [(k, " ".join(words(5 + k % 90, k))) for k in range(400)]
+    first = sharding.shard_documents(make_docs(few), 4, slots=256, path=path).collect()
+    assert {r["map_version"] for r in first} == {2}
+    more = few + [(k, " ".join(words(40, k))) for k in range(400, 440)]
+    grown = sharding.shard_documents(make_docs(more), 5, slots=256, path=path,
+                                     earlier=sharding.load_map(spark, path)).collect()
+    assert {r["map_version"] for r in grown} == {3}
+    before = {r["slot"]: r["shard"] for r in sharding.load_map(spark, path, 2).collect()}
+    after = {r["slot"]: r["shard"] for r in sharding.load_map(spark, path).collect()}
+    assert len(before) == len(after) == 256
+    # A fifth goes to the new shard, some more as slots have grown; dealt anew, four fifths would move.
+    assert 256 / 5 <= sum(before[slot] != after[slot] for slot in before) < 256 / 2
+    check_law(grown, 5, 1200)
+    with pytest.raises(Exception, match="(?i)exists"):  # a version is never overwritten
+        sharding.save_map(sharding.load_map(spark, path, 2), path)
+
+
 def test_sharding_nothing(make_docs):
     assert sharding.shard_documents(make_docs([])).count() == 0
 
