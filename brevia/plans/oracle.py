@@ -231,9 +231,11 @@ ORACLE: dict[str, str] = {
         f" SELECT id, lower({markup('body')}) AS body_cleaned FROM given"
     ),
     "clean_csv": (
-        f"WITH rows AS (SELECT doc_id, {SOME_TEXT} AS body, lang, n_chars FROM documents),"
+        f"WITH rows AS (SELECT doc_id, text AS body, {SOME_TEXT} AS some_text, lang, n_chars, quality"
+        " FROM documents LEFT JOIN labels USING (doc_id)),"
         " known AS (SELECT *, coalesce(body, '') AS given FROM rows)"
-        " SELECT CAST(doc_id AS INTEGER) AS doc_id, body, lang, CAST(n_chars AS INTEGER) AS n_chars,"
+        " SELECT CAST(doc_id AS INTEGER) AS doc_id, body, some_text, lang,"
+        " CAST(n_chars AS INTEGER) AS n_chars, quality,"
         f" lower({markup('given')}) AS body_cleaned FROM known"
     ),
     "clean_stream": on_text(cleaned("text"), "text_cleaned"),

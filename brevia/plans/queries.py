@@ -18,8 +18,8 @@ from ..sources.readers import load_splits, read_posts
 from ..sources.writers import scratch_path, write_csv, write_parquet
 from ..streaming.cleaning import clean_stream
 from .derived import (
-    CSV_LINE, EMOJI_TEXT, SOME_IDS, SOME_TEXT, SPLITS, bucketed_posts, documents, post_labels,
-    post_texts, posts, with_label, with_scores,
+    CSV_LINE, EMOJI_TEXT, SOME_IDS, SOME_TEXT, SPLITS, bucketed_posts, documents, labels,
+    post_labels, post_texts, posts, with_label, with_scores,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -105,10 +105,13 @@ def q_clean_passthrough(spark, sf):
 
 
 def q_clean_csv(spark, sf):
-    """The cleaning job from CSV to Parquet; every column keeps its type and values."""
+    """The cleaning job from CSV to Parquet over whole texts; every column keeps its type
+    and values.  Null and empty texts stand in a column of their own."""
     source, target = scratch_path(spark, "posts") + ".csv", scratch_path(spark, "cleaned") + ".parquet"
-    body = F.expr(SOME_TEXT).alias("body")
-    write_csv(documents(spark, sf).select("doc_id", body, "lang", "n_chars"), source)
+    joined = documents(spark, sf).join(labels(spark, sf).withColumnRenamed("id", "doc_id"),
+                                       "doc_id", "left")
+    write_csv(joined.select("doc_id", F.col("text").alias("body"),
+                            F.expr(SOME_TEXT).alias("some_text"), "lang", "n_chars", "quality"), source)
     clean_file(spark, source, target, "body")
     return read_posts(spark, target)
 
