@@ -6,8 +6,7 @@ import json
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, replace
 
-from pyspark import StorageLevel
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 from ..functions.clean import clean_text
 from ..functions.patterns import LABEL_NAMES, TOKEN
 from ..functions.text import argmax
+from ..sources.writers import scratch_path, write_parquet
 from .metrics import evaluate
 from .tokens import MAX_LENGTH
 
@@ -46,6 +46,8 @@ class TextModel:
 
 
 DEFAULT_GRID = (0.1, 0.01, 0.001)
+# The solver makes and adds up a matrix as large as the model for each block of sparse rows.
+BLOCK_MB = 16.0
 
 
 def prepare(df: DataFrame, config: TrainConfig) -> DataFrame:
@@ -69,7 +71,7 @@ def feature_stages(config: TrainConfig) -> list:
 def classifier(config: TrainConfig) -> LogisticRegression:
     regression = LogisticRegression(
         featuresCol="features", labelCol="class_label", family="multinomial",
-        maxIter=config.max_iter, regParam=config.reg_param,
+        maxIter=config.max_iter, regParam=config.reg_param, maxBlockSizeInMB=BLOCK_MB,
     )
     return regression.setWeightCol("weight") if config.balance_classes else regression
 
@@ -90,23 +92,34 @@ def _training_rows(train: DataFrame, config: TrainConfig) -> DataFrame:
     return with_class_weights(rows) if config.balance_classes else rows
 
 
-def _stored_features(features: PipelineModel, rows: DataFrame, *columns: str) -> DataFrame:
-    """Feature vectors kept on executors' memory and disk, as the solver reads them
-    several times; lost parts are recomputed from the source."""
+def _stored_counts(counting: PipelineModel, rows: DataFrame, *columns: str) -> DataFrame:
+    """Term counts in the shared scratch folder, as they are read several times.
+
+    Texts are cut into terms once.  The solver sends its sums, which are as large as the
+    model, for each partition and round: of these files, however many, readers make
+    partitions by size, and memory is left to the solver's own copy.
+    """
     kept = [c for c in (*columns, "weight") if c in rows.columns]
-    return features.transform(rows).select(*kept, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    path = scratch_path(rows.sparkSession, "term-counts")
+    counts = counting.transform(rows).select(*kept, "counts")
+    write_parquet(counts, path)
+    return rows.sparkSession.read.schema(counts.schema).parquet(path)
+
+
+def _fit_features(rows: DataFrame, config: TrainConfig) -> tuple[PipelineModel, PipelineModel, DataFrame]:
+    """The stages up to the counts, all stages, and the features of the training rows."""
+    *stages, weighting = feature_stages(config)
+    counting = PipelineModel(stages=stages)
+    counts = _stored_counts(counting, rows, "class_label")
+    weights = weighting.fit(counts)
+    return counting, PipelineModel(stages=[*stages, weights]), weights.transform(counts).drop("counts")
 
 
 def fit(train: DataFrame, config: TrainConfig = TrainConfig()) -> TextModel:
     """Fit features and classifier on a training table with ``text`` and ``label``."""
-    rows = _training_rows(train, config)
-    features = Pipeline(stages=feature_stages(config)).fit(rows)
-    train_set = _stored_features(features, rows, "class_label")
-    try:
-        model = classifier(config).fit(train_set)
-        return TextModel(PipelineModel(stages=[*features.stages, model]), config)
-    finally:
-        train_set.unpersist()
+    _, features, train_set = _fit_features(_training_rows(train, config), config)
+    model = classifier(config).fit(train_set)
+    return TextModel(PipelineModel(stages=[*features.stages, model]), config)
 
 
 def predict(model: TextModel, df: DataFrame) -> DataFrame:
@@ -144,33 +157,28 @@ def select_model(
     """Fit the grid in order, keep the best validation score, stop after
     ``early_stopping_patience`` fits without gain.  Features are computed once.
     """
-    train_rows = _training_rows(train, config)
-    features = Pipeline(stages=feature_stages(config)).fit(train_rows)
-    train_set = _stored_features(features, train_rows, "class_label")
-    check_set = _stored_features(features, prepare(validation, config), "label")
+    counting, features, train_set = _fit_features(_training_rows(train, config), config)
+    check_counts = _stored_counts(counting, prepare(validation, config), "label")
+    check_set = features.stages[-1].transform(check_counts)
     sign = 1 if config.greater_is_better else -1
     best, best_score, waited, history = None, None, 0, []
-    try:
-        for reg_param in reg_params:
-            model = classifier(replace(config, reg_param=reg_param)).fit(train_set)
-            scored = model.transform(check_set).withColumn(
-                "pred", argmax(vector_to_array("probability"))
-            )
-            result = evaluate(scored).first().asDict()
-            if result[config.metric_for_best_model] is None:
-                raise ValueError("no rows to select the model by: the validation split is empty")
-            score = sign * result[config.metric_for_best_model]
-            improved = best_score is None or score > best_score
-            history.append({"reg_param": reg_param, **result, "improved": improved})
-            if improved:
-                best, best_score, waited = model, score, 0
-            else:
-                waited += 1
-                if waited >= config.early_stopping_patience:
-                    break
-    finally:
-        train_set.unpersist()
-        check_set.unpersist()
+    for reg_param in reg_params:
+        model = classifier(replace(config, reg_param=reg_param)).fit(train_set)
+        scored = model.transform(check_set).withColumn(
+            "pred", argmax(vector_to_array("probability"))
+        )
+        result = evaluate(scored).first().asDict()
+        if result[config.metric_for_best_model] is None:
+            raise ValueError("no rows to select the model by: the validation split is empty")
+        score = sign * result[config.metric_for_best_model]
+        improved = best_score is None or score > best_score
+        history.append({"reg_param": reg_param, **result, "improved": improved})
+        if improved:
+            best, best_score, waited = model, score, 0
+        else:
+            waited += 1
+            if waited >= config.early_stopping_patience:
+                break
     chosen = next(h for h in reversed(history) if h["improved"])
     kept = replace(config, reg_param=chosen["reg_param"])
     return TextModel(PipelineModel(stages=[*features.stages, best]), kept), history

@@ -18,13 +18,13 @@ def save_bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None
     """Save ``df`` as a table bucketed and sorted by ``key``, with a folder for each value
     of ``by``; the table's name.
 
-    Rows are not shuffled: every task writes a file for each bucket it has rows of.  For
-    tables of very many tasks repartition by the key first, by the same number.  A bucket
+    Rows are sent to their buckets first, so that a bucket is one file for each value of
+    ``by``; written where they are, every task would make a file for each bucket.  A bucket
     is read by one task, so take a number that makes buckets of a few hundred MB.
     """
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
     if by is not None:
         writer = writer.partitionBy(by)
     table = f"{name}_{uuid.uuid4().hex}"
