@@ -11,6 +11,11 @@ order cannot be among them on either side, so the D + 1 pieces that stay, its fu
 ones, are enough for every pair to meet.  Sizes fall into bands; a band fixes P.  A
 document also takes part in the next band if partners can be that large.
 
+A piece has 2 ** 64 bits, one for each hash, and is kept as the xor of its set bits'
+hashes.  Short pieces would not do: two or three bits of 64 are the same for many sets
+that have no shingle in common, and the pairs that meet so grow with the square of the
+number of sets.
+
 Pairs that meet are verified on the shingles themselves:
 
 1. Documents with one set are a class and one node, however many they are.
@@ -133,8 +138,8 @@ BANDS = bands()
 
 
 def piece_keys(values: np.ndarray, like: Likeness) -> np.ndarray:
-    """The keys under which a set meets all its possible partners."""
-    size, most = len(values), like.partner(len(values))
+    """The keys under which a set, given in order, meets all its possible partners."""
+    size, most, hashes = len(values), like.partner(len(values)), mixed(values)
     own = int(np.searchsorted(BANDS, size))
     out = [np.empty(0, np.uint64)]
     for band in (own, own + 1):
@@ -144,12 +149,12 @@ def piece_keys(values: np.ndarray, like: Likeness) -> np.ndarray:
         if not errors:
             continue
         pieces = int(SPARE * (like.difference(2 * BANDS[band]) + 1)) + 1
-        where = (values >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)
-        places = (where << np.uint64(6) | values & np.uint64(63)).astype(np.int64)
-        bits = np.packbits(np.bincount(places, minlength=64 * pieces).astype(np.uint8) & 1)
-        words = bits.view(np.uint64)
-        keys = mixed(words ^ mixed(np.arange(pieces, dtype=np.uint64) << np.uint64(8) | np.uint64(band)))
-        order = np.lexsort((keys, np.bitwise_count(words)))
+        where = ((values >> np.uint64(32)) * np.uint64(pieces) >> np.uint64(32)).astype(np.int64)
+        filled, starts = np.unique(where, return_index=True)
+        bits, contents = np.bincount(where, minlength=pieces), np.zeros(pieces, np.uint64)
+        contents[filled] = np.bitwise_xor.reduceat(hashes, starts)
+        keys = mixed(contents ^ mixed(np.arange(pieces, dtype=np.uint64) << np.uint64(8) | np.uint64(band)))
+        order = np.lexsort((keys, bits))
         out.append(keys[order[pieces - errors - 1:]])
     return np.concatenate(out)
 

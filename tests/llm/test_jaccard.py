@@ -131,3 +131,12 @@ def test_long_sketches_rule_out_no_linked_pair(spark):
     # Of the large pairs that have little in common, few are left.
     far = [k for k, row in enumerate(rows) if row[1] > 1200 and not linked[k]]
     assert far and len(left & set(far)) <= len(far) // 3
+
+
+@pytest.mark.parametrize("like", [Likeness(3, 9, 10), Likeness(5, 4, 5)])
+def test_sets_with_nothing_in_common_do_not_meet(like):
+    """Pieces of 64 bits with a few bits set are the same by chance, the more the more sets."""
+    draw = np.random.default_rng(7)
+    keys = [piece_keys(np.unique(draw.integers(0, 2**64, 150, dtype=np.uint64)), like) for _ in range(2000)]
+    _, times = np.unique(np.concatenate(keys), return_counts=True)
+    assert len(times) > 2000 and times.max() == 1
