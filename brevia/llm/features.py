@@ -10,6 +10,9 @@ from .common import as_columns
 
 HASHED = 1 << 16
 SAMPLE_ROWS = 20_000
+# For each round and part a solver sends a sum as large as its model, and the driver takes
+# them in; so the parts are few and do not follow the documents'.
+SAMPLE_PARTS = 2
 _MILLION = 1_000_000
 
 
@@ -30,7 +33,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str,
     Rows are chosen by a hash of the key, the same ones in each run.  The chosen labels
     are few enough, by that bound, to be sent to all tasks, so documents are not shuffled.
     Of several labels for a key the least by the order of the other columns counts, nulls
-    first, so each run takes the same one.
+    first, so each run takes the same one.  The rows come in SAMPLE_PARTS parts.
     """
     others = [c for c in labels.columns if c != key]
     usable = labels.filter(F.col(key).isNotNull()).groupBy(key).agg(
@@ -40,4 +43,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str,
     chosen = usable.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(_MILLION))
                            < int(share * _MILLION))
     texts = docs.select(key, F.col(text).alias("text"))
-    return texts.join(F.broadcast(chosen), key)
+    return texts.join(F.broadcast(chosen), key).repartition(SAMPLE_PARTS)

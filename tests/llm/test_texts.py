@@ -338,3 +338,11 @@ def test_of_conflicting_labels_the_least_counts(spark, make_docs):
         got = features.labelled_sample(docs, labels.repartition(3), "doc_id", "text").select(
             "doc_id", "text", "quality", "toxic").collect()
         assert sorted(map(tuple, got)) == [(1, "one", 0, 0), (2, "two", None, 1)]
+
+
+def test_sample_has_few_parts_whatever_the_documents_have(spark, make_docs):
+    docs = make_docs([(i, f"text {i}") for i in range(200)]).repartition(40)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id BIGINT, quality INT, toxic INT")
+    sample = features.labelled_sample(docs, labels, "doc_id", "text")
+    assert sample.rdd.getNumPartitions() == features.SAMPLE_PARTS
+    assert sorted(r["doc_id"] for r in sample.collect()) == list(range(200))
