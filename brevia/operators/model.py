@@ -47,7 +47,16 @@ class TextModel:
 
 DEFAULT_GRID = (0.1, 0.01, 0.001)
 # The solver makes and adds up a matrix as large as the model for each block of sparse rows.
-BLOCK_MB = 16.0
+# It keeps the blocks in memory, which Spark measures after every 16th of a task only, and
+# arrays of more than half a region of Java's heap (2 MB in 6 GB) take whole regions.
+BLOCK_MB = 2.0
+# Stored counts are about five times as large as blocks, and a task that writes its blocks to
+# disk or reads them again may hold all of them beside the memory that Spark measures.
+PART_BYTES = 32 << 20
+# A row group goes to one partition, whatever the partitions' size.
+GROUP_BYTES = 8 << 20
+# Of rows with thousands of terms, Spark's usual batch of 4,096 is some hundred MB.
+BATCH_ROWS = 256
 
 
 def prepare(df: DataFrame, config: TrainConfig) -> DataFrame:
@@ -92,18 +101,29 @@ def _training_rows(train: DataFrame, config: TrainConfig) -> DataFrame:
     return with_class_weights(rows) if config.balance_classes else rows
 
 
+def _count_session(spark: SparkSession) -> SparkSession:
+    """A session to read counts by, whose partitions and batches are small; the caller's
+    own settings stay as they are."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(PART_BYTES))
+    session.conf.set("spark.sql.files.openCostInBytes", str(PART_BYTES >> 7))
+    session.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(BATCH_ROWS))
+    return session
+
+
 def _stored_counts(counting: PipelineModel, rows: DataFrame, *columns: str) -> DataFrame:
     """Term counts in the shared scratch folder, as they are read several times.
 
     Texts are cut into terms once.  The solver sends its sums, which are as large as the
     model, for each partition and round: of these files, however many, readers make
-    partitions by size, and memory is left to the solver's own copy.
+    partitions by size, and memory is left to the solver's own copy.  Row groups, partitions
+    and batches are small, so what a task holds beside that copy does not follow the input.
     """
     kept = [c for c in (*columns, "weight") if c in rows.columns]
     path = scratch_path(rows.sparkSession, "term-counts")
     counts = counting.transform(rows).select(*kept, "counts")
-    write_parquet(counts, path)
-    return rows.sparkSession.read.schema(counts.schema).parquet(path)
+    write_parquet(counts, path, group_bytes=GROUP_BYTES)
+    return _count_session(rows.sparkSession).read.schema(counts.schema).parquet(path)
 
 
 def _fit_features(rows: DataFrame, config: TrainConfig) -> tuple[PipelineModel, PipelineModel, DataFrame]:

@@ -15,11 +15,15 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_parquet(
-    df: DataFrame, path: str, by_split: bool = False, mode: str = "errorifexists"
+    df: DataFrame, path: str, by_split: bool = False, mode: str = "errorifexists",
+    group_bytes: int | None = None,
 ) -> None:
     """Parquet; ``by_split`` makes one folder per split so that readers of one
-    split skip the files of the others."""
+    split skip the files of the others.  A row group, which one task writes and one reads,
+    has ``group_bytes``, or as many as the session says."""
     writer = df.write.mode(mode)
+    if group_bytes is not None:
+        writer = writer.option("parquet.block.size", group_bytes)
     (writer.partitionBy("split") if by_split else writer).parquet(path)
 
 

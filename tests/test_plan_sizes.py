@@ -2,6 +2,8 @@
 
 import glob
 
+from pyspark.sql import functions as F
+
 from brevia.operators import model
 from brevia.operators.mapping import BATCH_BYTES, map_batches
 from brevia.sources.tables import save_bucketed
@@ -23,6 +25,29 @@ def test_features_have_partitions_by_size_not_by_the_files_of_the_texts(spark):
     assert features.rdd.getNumPartitions() < 100
 
 
+def test_one_file_of_counts_goes_to_several_partitions(spark, monkeypatch):
+    monkeypatch.setattr(model, "GROUP_BYTES", 1 << 20, raising=False)
+    words = "transform(sequence(1, 2000), x -> hex(hash(id, x)))"
+    posts = spark.range(0, 400, 1, 1).selectExpr(
+        "id", "CAST(id % 3 AS INT) AS label", f"array_join({words}, ' ') AS text")
+    names = ["files.maxPartitionBytes", "files.openCostInBytes", "parquet.columnarReaderBatchSize"]
+    before = [spark.conf.get(f"spark.sql.{name}") for name in names]
+    config = model.TrainConfig()
+    counting, _, features = model._fit_features(model._training_rows(posts, config), config)
+    rows = [r["count"] for r in features.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 400 and max(rows) <= 250
+    check = model._stored_counts(counting, model.prepare(posts.limit(5), config), "label")
+    for df in (features, check):
+        held = [int(df.sparkSession.conf.get(f"spark.sql.{name}").removesuffix("b")) for name in names]
+        assert held[0] <= 64 << 20 and held[2] <= 512
+    assert [spark.conf.get(f"spark.sql.{name}") for name in names] == before
+
+
+def test_blocks_between_two_looks_at_memory_are_small():
+    # Spark's storage measures a partition after each 16 blocks.
+    assert 16 * model.classifier(model.TrainConfig()).getMaxBlockSizeInMB() <= 64
+
+
 def test_batches_are_bounded_by_bytes(spark):
     texts = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('x', 5000) AS text")
 
