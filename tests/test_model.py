@@ -61,6 +61,17 @@ def test_train_saves_the_best_model(spark, posts):
     assert evaluate(again).first().asDict() == result
 
 
+def test_training_takes_small_blocks_and_partitions(spark, posts, monkeypatch):
+    seen, made = [], model.classifier
+    monkeypatch.setattr(model, "classifier", lambda config: seen.append(made(config)) or seen[-1])
+    read, stored = [], model._stored_counts
+    monkeypatch.setattr(model, "_stored_counts", lambda *a: read.append(stored(*a)) or read[-1])
+    model.train(posts, scratch_path(spark, "model"), CONFIG, [0.01])
+    assert [16 * c.getMaxBlockSizeInMB() <= 64 for c in seen] == [True]
+    sizes = [df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes") for df in read]
+    assert len(sizes) == 2 and all(int(s.removesuffix("b")) <= 32 << 20 for s in sizes)
+
+
 def test_external_model_on_encoded_posts(spark, posts):
     vocabulary = tokens.build_vocabulary(posts, 50)
     ids = {r.token: r.token_id for r in vocabulary.collect()}
